@@ -182,17 +182,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = Window.partitionBy("doc_id", "n")
     ranked = shared.withColumn("held", F.sum(F.col("counted").cast("int")).over(own)).withColumn("at", F.row_number().over(own.orderBy(F.desc("counted"), "df", "t")))
     prefix = ranked.where(~F.col("counted") | (F.col("at") <= forgiven + 1 - (F.col("m") - F.col("held"))))
-    prefix = cut(prefix.select("doc_id", "n", "t", (F.col("m") - F.col("held")).alias("lone")), "prefix")
+    # a shingle's place in its set's order, private ones first: all that two sets share from there on is at most what is left
+    prefix = cut(prefix.select("doc_id", "n", "t", (F.col("m") - F.col("held")).alias("lone"), (F.col("n") - (F.col("m") - F.col("held")) - F.col("at") + 1).alias("left")), "prefix")
 
     # groups of like size and prefix
     listed = F.sort_array(F.collect_list("t"))
     marks = prefix.groupBy("doc_id", "n", "lone").agg(F.xxhash64(F.lit(1), listed).alias("p"), F.xxhash64(F.lit(2), listed).alias("q"))
     keyed = cut(marks.withColumn("g", F.min("doc_id").over(Window.partitionBy("n", "lone", "p", "q"))).select("doc_id", "g"), "groups")
-    posts = cut(prefix.join(keyed.where("doc_id = g").select("g").distinct(), F.col("doc_id") == F.col("g"), "left_semi").select("t", F.col("doc_id").alias("g"), "n").distinct(), "posts")
+    posts = cut(prefix.join(keyed.where("doc_id = g").select("g").distinct(), F.col("doc_id") == F.col("g"), "left_semi").select("t", F.col("doc_id").alias("g"), "n", "left").distinct(), "posts")
 
     # 4a. one pivot for each shingle, each group against the pivots that it shares most with
-    pivots = posts.groupBy("t").agg(F.min_by(F.struct("g", "n"), F.xxhash64("g", "t")).alias("v"), F.count("*").alias("c")).where("c > 1").select("t", F.col("v.g").alias("b"), F.col("v.n").alias("k"))
-    like = F.least("n", "k") * 100 >= F.greatest("n", "k") * percent
+    pivots = posts.groupBy("t").agg(F.min_by(F.struct("g", "n", "left"), F.struct(-F.col("left") / F.col("n"), F.xxhash64("g", "t"))).alias("v"), F.count("*").alias("c")).where("c > 1").select("t", F.col("v.g").alias("b"), F.col("v.n").alias("k"), F.col("v.left").alias("left_k"))
+    like = (F.least("n", "k") * 100 >= F.greatest("n", "k") * percent) & (F.least("left", "left_k") * (100 + percent) >= (F.col("n") + F.col("k")) * percent)
     tried = posts.join(pivots, "t").where((F.col("g") != F.col("b")) & like).groupBy(F.col("g").alias("a"), "b").agg(F.count("*").alias("c"))
     tried = tried.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where(F.col("r") <= PIVOTS).select("a", "b")
     inside = keyed.where("doc_id <> g").select(F.col("doc_id").alias("a"), F.col("g").alias("b"))
@@ -205,10 +206,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     posted = posts.join(spread, "g")
     mixed = posted.groupBy("t").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most").select("t")
     left = posted.join(mixed, "t")
-    a = left.select("t", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    b = left.select("t", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    a = left.select("t", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("left").alias("ea"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    b = left.select("t", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("left").alias("eb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     one_component = (F.col("la") == F.col("hb")) & (F.col("lb") == F.col("ha")) & (F.col("la") == F.col("lb"))
-    across = a.join(b, "t").where((F.col("ga") < F.col("gb")) & ~one_component & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("ga", "gb").distinct()
+    like = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.least("ea", "eb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    across = a.join(b, "t").where((F.col("ga") < F.col("gb")) & ~one_component & like).select("ga", "gb").distinct()
     across = across.unionByName(spread.where("lo <> hi").select(F.col("g").alias("ga"), F.col("g").alias("gb")))
     ma = placed.select(F.col("g").alias("ga"), F.col("doc_id").alias("a"), F.col("root").alias("ra"))
     mb = placed.select(F.col("g").alias("gb"), F.col("doc_id").alias("b"), F.col("root").alias("rb"))
