@@ -1,0 +1,47 @@
+"""De-identification: text redaction, keyed pseudonyms, element cleanup and pixel-mask targets."""
+
+from __future__ import annotations
+
+from ..functions import text as tx
+from ..functions.dialect import Spark
+from ..plans.fixtures import fx
+
+KEY = b"release-key"
+
+
+def redacted(d: Spark) -> str:
+    """documents with header lines, dates and numbers of identifier shape replaced."""
+    out = tx.redact(d, "coalesce(text, '')")
+    return f"select doc_id, length({out}) as n_after, {d.sha(out)} as text_sha256, {out} like '%[REDACTED]%' as changed from {d.t('documents')}"
+
+
+def pseudonyms(d: Spark) -> str:
+    """One token a patient, study and instance, and the map of series and instance UIDs."""
+    uid = d.hmac(KEY, "concat('uid', chr(0), u)")
+    return f"""with {fx(d)}, uids as (select study_uid as u from fx_instances union select series_uid from fx_instances union select sop_uid from fx_instances)
+      select u as uid, substring({uid}, 1, 32) as research_bits, {d.sha('u')} as digest, {d.has('u', '^[0-9]+([.][0-9]+)*$')} and length(u) <= 64 as valid from uids"""
+
+
+def cleaned(d: Spark) -> str:
+    """cleanup rules over a long table of elements; groups go, identifiers are replaced, free text is emptied."""
+    return f"""with {fx(d)}, elements as (
+        select sop_uid, '0010' as grp, '0010' as elem, 'PN' as vr, 'PatientName' as keyword, patient_name as value from fx_instances union all select sop_uid, '0010', '0020', 'LO', 'PatientID', patient_id from fx_instances
+        union all select sop_uid, '0008', '0020', 'DA', 'StudyDate', study_date from fx_instances union all select sop_uid, '0008', '0060', 'CS', 'Modality', modality from fx_instances
+        union all select sop_uid, '0020', '000d', 'UI', 'StudyInstanceUID', study_uid from fx_instances union all select sop_uid, '0008', '0016', 'UI', 'SOPClassUID', '1.2.840.10008.5.1.4.1.1.2' from fx_instances
+        union all select sop_uid, '0040', '0275', 'SQ', 'RequestAttributesSequence', accession from fx_instances union all select sop_uid, '0009', '0010', 'LO', 'Private', 'x' from fx_instances
+        union all select sop_uid, '6000', '3000', 'OW', 'OverlayData', 'x' from fx_instances union all select sop_uid, '0028', '0004', 'CS', 'PhotometricInterpretation', 'MONOCHROME2' from fx_instances),
+      ruled as (select keyword, case when grp in ('0040', '0088') or grp between '6000' and '60ff' then 'deleted' when grp in ('0009', '0011', '0013') then 'private removed' when keyword in ('PatientName', 'PatientID') then 'subject'
+        when vr = 'UI' and keyword not like '%ClassUID%' and keyword <> 'TransferSyntaxUID' then 'remapped' when vr in ('PN', 'DA', 'DT', 'TM', 'LT', 'ST', 'UT', 'UC', 'AE', 'UR') then 'emptied' when vr in ('LO', 'SH') and keyword <> 'PhotometricInterpretation' then 'emptied' else 'kept' end as action,
+        case when vr = 'UI' and keyword not like '%ClassUID%' then substring({d.hmac(KEY, "concat('uid', chr(0), value)")}, 1, 32) else value end as new_value from elements)
+      select keyword, action, count(*) as n, count(distinct new_value) as n_values from ruled group by keyword, action"""
+
+
+def masks(d: Spark) -> str:
+    """Masks by scope as three equi-joins, bounds, coverage, and instances that burned-in text keeps back."""
+    return f"""with {fx(d)}, m as (select distinct study_uid, case o_orderkey % 3 when 0 then 'exam' when 1 then 'series' else 'image' end as scope, series_uid, sop_uid, l_linenumber * 4 as x, l_linenumber * 4 as y, 50 as w, 20 as h from fx_instances where l_linenumber = 1),
+      hit as (select i.sop_uid from fx_instances i join m on m.study_uid = i.study_uid where scope = 'exam' union all select i.sop_uid from fx_instances i join m on m.study_uid = i.study_uid and m.series_uid = i.series_uid where scope = 'series' union all select i.sop_uid from fx_instances i join m on m.sop_uid = i.sop_uid where scope = 'image'),
+      per as (select sop_uid as msop, count(*) as n_masks from hit group by sop_uid)
+      select burned, case when n_masks is null then 'uncovered' else 'covered' end as coverage, burned = 'YES' and n_masks is null as quarantined, count(*) as instances, sum(case when 4 + 50 > 64 * (1 + l_suppkey % 2) then 1 else 0 end) as out_of_bounds from fx_instances left join per on msop = sop_uid group by 1, 2, 3"""
+
+
+QUERIES = {"F35_redaction": redacted, "F42_pseudonyms": pseudonyms, "F41_element_cleanup": cleaned, "J22_mask_targets": masks}

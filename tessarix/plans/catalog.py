@@ -1,6 +1,64 @@
-"""All queries by name, with the SQL that checks them."""
+"""All queries by name, with the SQL that checks them.
+
+A query is a builder of SQL over fragments; Spark plans and runs one rendering of it, the check runs the other.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.dialect import Duck, Spark
+from ..operators import deid, dump, linkage, release, studies
+from .fixtures import TABLES
+
+BUILDERS = {**studies.QUERIES, **linkage.QUERIES, **dump.QUERIES, **deid.QUERIES, **release.QUERIES}
+
+
+def whole(sql: str) -> str:
+    """``sql`` with every sum as a 64-bit integer, in both engines: all that is summed here counts something."""
+    out, i = [], 0
+    while (j := sql.find("sum(", i)) >= 0:
+        if j and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i : j + 4])
+            i = j + 4
+            continue
+        end = _closed(sql, j + 3)
+        if sql[end:].startswith(" over ("):
+            end = _closed(sql, end + 6)
+        out.append(f"{sql[i:j]}cast(sum({whole(sql[j + 4 : end])} as bigint)")
+        i = end
+    return "".join(out) + sql[i:]
+
+
+def _closed(sql: str, opened: int) -> int:
+    """Behind the parenthesis that closes the one at ``opened``."""
+    depth = 0
+    for i in range(opened, len(sql)):
+        depth += (sql[i] == "(") - (sql[i] == ")")
+        if not depth:
+            return i + 1
+    raise ValueError("a parenthesis is open")
+
+
+def over(spark: SparkSession, sf_dir: str) -> Spark:
+    """Spark's fragments over the tables of ``sf_dir``, as views of their own."""
+    mark = hashlib.sha256(sf_dir.encode()).hexdigest()[:10]
+    views = {}
+    for name in TABLES:
+        views[name] = f"tx_{mark}_{name}"
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(views[name])
+    return Spark(views)
+
+
+def run(builder):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(whole(builder(over(spark, sf_dir))))
+
+    query.__doc__ = builder.__doc__
+    return query
+
+
+QUERIES = {name: run(b) for name, b in BUILDERS.items()}
+ORACLES = {name: whole(b(Duck())) for name, b in BUILDERS.items()}
