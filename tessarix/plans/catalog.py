@@ -8,9 +8,12 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.dialect import Duck, Spark
 from ..operators import deid, dump, linkage, release, studies
+from ..sources.dumps import insert_rows
+from ..sources.reports import formatted
 from .fixtures import TABLES
 
 BUILDERS = {**studies.QUERIES, **linkage.QUERIES, **dump.QUERIES, **deid.QUERIES, **release.QUERIES}
@@ -60,5 +63,29 @@ def run(builder):
     return query
 
 
-QUERIES = {name: run(b) for name, b in BUILDERS.items()}
-ORACLES = {name: whole(b(Duck())) for name, b in BUILDERS.items()}
+def dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT lines written from the orders, parsed back; lines with calls are errors."""
+    d = over(spark, sf_dir)
+    value = "case when o_orderkey % 89 = 0 then concat('INSERT INTO labdata VALUES (', cast(o_orderkey as string), ', NOW());') else concat('INSERT INTO `labdata` VALUES (', cast(o_orderkey as string), ', ''it\\\\''s (', o_orderstatus, '), ok'', NULL, -1.5),(', cast(o_custkey as string), ', ''x'', NULL, 2);') end"
+    lines = spark.sql(f"select {value} as value from {d.t('orders')}")
+    rows = insert_rows(lines)
+    return rows.groupBy("table", "error").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.col("row")[0].cast("long")), F.lit(0)).alias("sum_first"), F.min(F.col("row")[1]).alias("least_second"), F.count(F.col("row")[2]).alias("nulls_not"), F.max(F.size("row")).cast("long").alias("width"))
+
+
+DUMP_SQL = """with t as (select o_orderkey as a, concat('it''s (', o_orderstatus, '), ok') as b from orders where o_orderkey % 89 <> 0 union all select o_custkey, 'x' from orders where o_orderkey % 89 <> 0)
+select 'labdata' as "table", '' as error, count(*) as n_rows, cast(sum(a) as bigint) as sum_first, min(b) as least_second, cast(0 as bigint) as nulls_not, cast(4 as bigint) as width from t
+union all select 'labdata', 'unsupported value', count(*), 0, null, 0, null from orders where o_orderkey % 89 = 0 having count(*) > 0"""
+
+
+def xml_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents wrapped as XML notes, some of them broken, formatted to text."""
+    d = over(spark, sf_dir)
+    wrapped = "case when doc_id % 31 = 0 then '<labResult><notes>broken' when doc_id % 3 = 0 then concat('<labResult><notes>line ', cast(doc_id as string), '</notes></labResult>') else concat('doc ', coalesce(text, '')) end"
+    return formatted(spark.sql(f"select doc_id as report, {wrapped} as text from {d.t('documents')}")).select("report", "status", F.sha2("text", 256).alias("text_sha256"))
+
+
+XML_SQL = """select doc_id as report, case when doc_id % 31 = 0 then 'unparsed' when doc_id % 3 = 0 then 'xml' else 'plain' end as status,
+sha256(case when doc_id % 31 = 0 then '<labResult><notes>broken' when doc_id % 3 = 0 then concat('line ', cast(doc_id as varchar)) else concat('doc ', coalesce(text, '')) end) as text_sha256 from documents"""
+
+QUERIES = {name: run(b) for name, b in BUILDERS.items()} | {"S9_dump_rows": dump_rows, "F43_xml_reports": xml_reports}
+ORACLES = {name: whole(b(Duck())) for name, b in BUILDERS.items()} | {"S9_dump_rows": DUMP_SQL, "F43_xml_reports": XML_SQL}
