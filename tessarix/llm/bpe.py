@@ -9,7 +9,6 @@ from __future__ import annotations
 import base64
 import re
 import struct
-import unicodedata
 
 import numpy as np
 import regex
@@ -21,6 +20,11 @@ MOST_PIECES, LONGEST_PIECE = 400_000, 64
 SPACE = "\t-\r \x85\xa0  -     　"
 
 
+#: Latin letters without combining marks: here NFC changes nothing, and all engines class every character alike. Pieces
+#: with others are cut by the library itself.
+_PLAIN = re.compile("[\x00-\u024f]*")
+
+
 def byte_table() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the rest follow from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -91,7 +95,8 @@ class ByteLevelEncoder:
         return _bytes([t.id for t in self.model.tokenize(to_chars(match.encode()))])
 
     def _cut(self, chunk: str) -> bytes:
-        return b"".join(map(self.matches.__getitem__, self.pattern.findall(chunk)))
+        found = self.pattern.findall(chunk) if _PLAIN.fullmatch(chunk) else [m for m, _ in self.split.pre_tokenize_str(chunk)]
+        return b"".join(map(self.matches.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
         # A match never goes on from a character into white space, so a text may be cut before each run of it.
@@ -124,9 +129,9 @@ class WordEncoder:
         return _bytes([t.id for t in self.model.tokenize(to_chars(piece.encode()))])
 
     def _cut(self, chunk: str) -> bytes:
-        if self.pattern is None or not chunk.isascii() and not unicodedata.is_normalized("NFC", chunk.replace("Σ", "σ").lower()):
+        if self.pattern is None or not _PLAIN.fullmatch(chunk):
             return _bytes(self.whole.encode(chunk, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk.replace("Σ", "σ").lower())))
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk.lower())))
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, self._chunk.findall(text)))

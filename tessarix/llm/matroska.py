@@ -1,7 +1,8 @@
 """Media columns in Matroska: a writer for sample tracks and a parser that gives packet tables.
 
 The parser reads variable-length EBML sizes (unknown sizes too), clusters, SimpleBlocks and BlockGroups with Xiph, EBML
-and fixed lacing, and cues; each packet has its track, timestamp, cluster, byte range and key flag. The writer stores a
+and fixed lacing, and cues; each packet has its track, timestamp (laced ones by
+the track's default duration), cluster, byte range and key flag. The writer stores a
 payload as one audio track of 8-bit samples.
 
 Defined results: null media give no packets; broken media end at the first element that can't be read, with what came
@@ -24,7 +25,8 @@ from .common import plus, schema_of, slices, table
 EBML, SEGMENT, INFO, TRACKS, ENTRY, AUDIO, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-_INSIDE = {SEGMENT, BLOCK_GROUP}
+NUMBER, DURATION = 0xD7, 0x23E383
+_INSIDE = {SEGMENT, BLOCK_GROUP, TRACKS, ENTRY}
 #: Samples of a packet and a second, packets laced in a block, blocks of a cluster.
 SAMPLES, RATE, LACED, BLOCKS = 512, 8000, 8, 16
 PACKETS = "packets array<struct<track:int,timestamp:bigint,cluster:int,start:bigint,size:bigint,key:boolean,lacing:int>>, cues array<struct<time:bigint,track:int,position:bigint>>"
@@ -49,7 +51,7 @@ def uint(kind: int, n: int) -> bytes:
 
 _HEAD = element(EBML, uint(0x4286, 1) + uint(0x42F7, 1) + uint(0x42F2, 4) + uint(0x42F3, 8) + element(0x4282, b"matroska") + uint(0x4287, 4) + uint(0x4285, 2))
 _INFO = element(INFO, uint(0x2AD7B1, 1_000_000) + element(0x4D80, b"tessarix") + element(0x5741, b"tessarix"))
-_TRACKS = element(TRACKS, element(ENTRY, uint(0xD7, 1) + uint(0x73C5, 1) + uint(0x83, 2) + element(0x86, b"A_PCM/INT/LIT") + element(AUDIO, element(0xB5, struct.pack(">d", RATE)) + uint(0x9F, 1) + uint(0x6264, 8))))
+_TRACKS = element(TRACKS, element(ENTRY, uint(NUMBER, 1) + uint(DURATION, SAMPLES * 1_000_000_000 // RATE) + uint(0x73C5, 1) + uint(0x83, 2) + element(0x86, b"A_PCM/INT/LIT") + element(AUDIO, element(0xB5, struct.pack(">d", RATE)) + uint(0x9F, 1) + uint(0x6264, 8))))
 
 
 def _block(frames: list[bytes], relative: int) -> bytes:
@@ -132,6 +134,7 @@ def demux(data: bytes) -> tuple[list[tuple], list[tuple]]:
     packets: list[tuple] = []
     cues: list[tuple] = []
     base = cluster = -1
+    entry, durations = 0, {}
     stack = [(0, len(data))]
     time = track = 0
 
@@ -139,8 +142,8 @@ def demux(data: bytes) -> tuple[list[tuple], list[tuple]]:
         number, at = _vint(data, at, False)
         (relative,) = struct.unpack_from(">h", data, at)
         flags = data[at + 2]
-        for start, n in _laces(data, at + 3, end, flags >> 1 & 3):
-            packets.append((number, base + relative, cluster, start, n, bool(flags & 128) if simple else None, flags >> 1 & 3))
+        for i, (start, n) in enumerate(_laces(data, at + 3, end, flags >> 1 & 3)):
+            packets.append((number, base + relative + i * durations.get(number, 0) // 1_000_000, cluster, start, n, bool(flags & 128) if simple else None, flags >> 1 & 3))
 
     try:
         while stack:
@@ -157,7 +160,11 @@ def demux(data: bytes) -> tuple[list[tuple], list[tuple]]:
                     stack.append((stop, end))
                     at, end = body, stop
                     continue
-                if kind == TIMESTAMP:
+                if kind == NUMBER:
+                    entry = int.from_bytes(data[body:stop], "big")
+                elif kind == DURATION:
+                    durations[entry] = int.from_bytes(data[body:stop], "big")
+                elif kind == TIMESTAMP:
                     base = int.from_bytes(data[body:stop], "big")
                 elif kind in (SIMPLE_BLOCK, BLOCK):
                     block(body, stop, kind == SIMPLE_BLOCK)
