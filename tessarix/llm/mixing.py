@@ -84,8 +84,8 @@ def copies(docs: DataFrame) -> DataFrame:
     """
     own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
     plan = mix(docs).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int").alias("_times")).where("_times > 0")
-    kept = own.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size")))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_held"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int").alias("_times")).where("_times > 0")
+    kept = own.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_held")))
     return kept.withColumn("_again", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 

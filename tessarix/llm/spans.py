@@ -88,20 +88,20 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated spans removed from text, and n_sentences and n_removed."""
-    named = docs.withColumn("row", F.xxhash64("text"))
+    named = docs.withColumn("_row", F.xxhash64("text"))
     place = F.struct("doc_id", "row", "first")
-    every = spans(named.select("doc_id", "row", "text"))
+    every = spans(named.select("doc_id", F.col("_row").alias("row"), "text"))
     repeated = every.groupBy("hash").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("h"), "keep")
     later = every.join(repeated, F.col("hash") == F.col("h")).where(~place.eqNullSafe(F.col("keep")))
-    gone = later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "behind")).alias("gone")).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "gone")
-    joined = named.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("row").eqNullSafe(F.col("_r")), "left").drop("_d", "_r", "row")
-    schema = joined.drop("gone")
+    gone = later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "behind")).alias("_gone")).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "_gone")
+    joined = named.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_row").eqNullSafe(F.col("_r")), "left").drop("_d", "_r", "_row")
+    schema = joined.drop("_gone")
     names = docs.columns
 
     def run(batches):
         for batch in slices(batches, "text"):
             texts, totals, removed = [], [], []
-            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
                 parts = sentences(text or "")
                 drop = np.zeros(len(parts) + 1, dtype=np.int64)
                 for c in cuts or []:
