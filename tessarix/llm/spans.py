@@ -26,7 +26,6 @@ LEAST_SENTENCES, LEAST_WORDS, LONGEST = 2, 20, 16
 #: Up to a stop with white space behind it, a line end, or the end of the text; a stop inside a word ends nothing.
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|[.!?])[^\n.!?]*)*(?:[.!?]+\s+|\n\s*|[.!?]*$)")
 _WORD = re.compile(r"\S+\s*")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def sentences(text: str, longest: int = LONGEST) -> list[str]:
@@ -73,10 +72,12 @@ def spans(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             out = [[], [], [], [], []]
             for name, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = [" ".join(s.translate(_LOWER).split()) for s in sentences(text or "")]
-                places = runs([w.count(" ") + 1 if w else 0 for w in words])
+                # lower() of bytes touches A-Z alone; a run's hash is that of its sentences' hashes
+                words = [s.split() for s in sentences((text or "").encode().lower().decode())]
+                marks = [xxhash.xxh3_128_digest(" ".join(w).encode()) if w else b"" for w in words]
+                places = runs(list(map(len, words)))
                 for i, j in places:
-                    out[0].append(xxhash.xxh3_64_intdigest(" ".join(filter(None, words[i:j])).encode()) - (1 << 63))
+                    out[0].append(xxhash.xxh3_64_intdigest(b"".join(marks[i:j])) - (1 << 63))
                     out[3].append(i)
                     out[4].append(j)
                 out[1] += [name] * len(places)
@@ -87,7 +88,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated spans removed from text, and n_sentences and n_removed."""
+    """``docs`` with repeated spans removed from text, and n_removed, the sentences that went."""
     named = docs.withColumn("_row", F.xxhash64("text"))
     place = F.struct("doc_id", "row", "first")
     every = spans(named.select("doc_id", F.col("_row").alias("row"), "text"))
@@ -100,22 +101,25 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, "text"):
-            texts, totals, removed = [], [], []
+            texts, removed = [], []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+                if not cuts:
+                    texts.append(text)
+                    removed.append(0)
+                    continue
                 parts = sentences(text or "")
                 drop = np.zeros(len(parts) + 1, dtype=np.int64)
-                for c in cuts or []:
+                for c in cuts:
                     drop[c["first"]] += 1
                     drop[c["behind"]] -= 1
                 out = np.cumsum(drop[:-1]) > 0
-                texts.append(text if not cuts else "".join(p for p, o in zip(parts, out.tolist(), strict=True) if not o))
-                totals.append(len(parts))
+                texts.append("".join(p for p, o in zip(parts, out.tolist(), strict=True) if not o))
                 removed.append(int(out.sum()))
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int32()), pa.array(removed, pa.int32())], names=[*names, "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], names=[*names, "n_removed"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
-    return joined.mapInArrow(run, f"{ddl}, n_sentences int, n_removed int")
+    return joined.mapInArrow(run, f"{ddl}, n_removed int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
