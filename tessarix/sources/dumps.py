@@ -46,7 +46,7 @@ def parse_insert(line: str) -> tuple[str | None, list[list[str | None]], str]:
             return table, [], "a line must end its statement"
         at = rest.end()
         if rest[1] == ";":
-            return table, rows, "" if at == len(line) else "text behind the statement"
+            return (table, rows, "") if at == len(line) else (table, [], "text behind the statement")
 
 
 def insert_rows(lines: DataFrame, column: str = "value") -> DataFrame:
