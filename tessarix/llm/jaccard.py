@@ -3,8 +3,9 @@
 1. Each text becomes the set of its 5-word shingles (64-bit hashes); equal sets are one class from here on.
 2. Shingles in a fixed part of the hash range are counted over all documents. A shingle that one document alone has
    can't be shared, so a document with more of those than its threshold forgives has no partner and leaves.
-3. For the rest, shingles are ordered from rare to common and each set keeps its prefix: two sets that link share one.
-   Classes with like size and like prefix are one group; shared prefix shingles of groups give the group pairs.
+3. All shingles of the rest are counted among them and ordered from rare to common, private ones first. Each set keeps
+   its prefix: two sets that link share one, and what is left behind its place bounds all that they share. Classes with
+   like size and like prefix are one group; shared prefix shingles of groups give the group pairs.
 4. A first round verifies each group against one pivot of its rarest shingles only, and closes the links to components.
    A second verifies, where a prefix shingle still holds several components, the members of all group pairs across
    them. So a family of near copies costs its size, not its square, while every pair that could join two components is
@@ -173,17 +174,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     alive = cut(alive, "alive")
     sets = cut(whole_sets(docs.join(few(alive.select("d").distinct()), F.col("doc_id") == F.col("d"), "left_semi")).distinct(), "sets")
 
-    # 3. prefixes from rare to common, counted shingles first
-    sized = sets.withColumn("n", F.size("tokens").cast("long"))
-    # the set is in unsigned order, so its counted part comes first
-    parts = sized.select("doc_id", "n", "tokens", F.size(F.filter("tokens", lambda t: F.shiftrightunsigned(t, 54) < COUNTED)).alias("m"))
-    rows = parts.select("doc_id", "n", "m", F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.col("m"), (forgiven + 1).cast("int")))).alias("i", "t")).withColumn("counted", F.col("i") < F.col("m")).drop("i")
+    # 3. all shingles of those left are counted; prefixes from rare to common, private ones first
+    rows = sets.select("doc_id", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("t"))
     shared = rows.join(rows.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "t")
     own = Window.partitionBy("doc_id", "n")
-    ranked = shared.withColumn("held", F.sum(F.col("counted").cast("int")).over(own)).withColumn("at", F.row_number().over(own.orderBy(F.desc("counted"), "df", "t")))
-    prefix = ranked.where(~F.col("counted") | (F.col("at") <= forgiven + 1 - (F.col("m") - F.col("held"))))
-    # a shingle's place in its set's order, private ones first: all that two sets share from there on is at most what is left
-    prefix = cut(prefix.select("doc_id", "n", "t", (F.col("m") - F.col("held")).alias("lone"), (F.col("n") - (F.col("m") - F.col("held")) - F.col("at") + 1).alias("left")), "prefix")
+    ranked = shared.withColumn("lone", F.col("n") - F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("df", "t")))
+    # a set with too many private ones leaves here; all that two sets share from a place on is at most what is left there
+    prefix = ranked.where(F.col("lone") + F.col("at") <= forgiven + 1)
+    prefix = cut(prefix.select("doc_id", "n", "t", "lone", (F.col("n") - F.col("lone") - F.col("at") + 1).alias("left")), "prefix")
 
     # groups of like size and prefix
     listed = F.sort_array(F.collect_list("t"))
