@@ -66,25 +66,39 @@ def runs(counts: list[int], least_sentences: int = LEAST_SENTENCES, least_words:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """hash, doc_id, row, first, behind of every span; row tells rows with one doc_id apart."""
+    """hash, doc_id, row, first, behind, more of the spans; row tells rows with one doc_id apart.
+
+    A document gives a hash two rows at most, however often it repeats the span: its first place, and its second place
+    with all further ones in ``more`` (first and behind in turn). Only the first place can be the one that stays.
+    """
 
     def run(batches):
         for batch in slices(batches, "text"):
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for name, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 # lower() of bytes touches A-Z alone; a run's hash is that of its sentences' hashes
                 words = [s.split() for s in sentences((text or "").encode().lower().decode())]
                 marks = [xxhash.xxh3_128_digest(" ".join(w).encode()) if w else b"" for w in words]
-                places = runs(list(map(len, words)))
-                for i, j in places:
-                    out[0].append(xxhash.xxh3_64_intdigest(b"".join(marks[i:j])) - (1 << 63))
+                known, before = {}, len(out[0])
+                for i, j in runs(list(map(len, words))):
+                    mark = xxhash.xxh3_64_intdigest(b"".join(marks[i:j])) - (1 << 63)
+                    further = known.get(mark)
+                    if further is None:
+                        known[mark] = []
+                    else:
+                        further += (i, j)
+                        if len(further) > 2:
+                            continue
+                    out[0].append(mark)
                     out[3].append(i)
                     out[4].append(j)
-                out[1] += [name] * len(places)
-                out[2] += [row] * len(places)
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["hash", "doc_id", "row", "first", "behind"])
+                    out[5].append(further)
+                out[1] += [name] * (len(out[0]) - before)
+                out[2] += [row] * (len(out[0]) - before)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["hash", "doc_id", "row", "first", "behind", "more"])
 
-    return docs.mapInArrow(run, "hash long, doc_id long, row long, first int, behind int")
+    return docs.mapInArrow(run, "hash long, doc_id long, row long, first int, behind int, more array<int>")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -94,7 +108,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     every = spans(named.select("doc_id", F.col("_row").alias("row"), "text"))
     repeated = every.groupBy("hash").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("h"), "keep")
     later = every.join(repeated, F.col("hash") == F.col("h")).where(~place.eqNullSafe(F.col("keep")))
-    gone = later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "behind")).alias("_gone")).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "_gone")
+    gone = later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "behind", "more")).alias("_gone")).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "_gone")
     joined = named.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_row").eqNullSafe(F.col("_r")), "left").drop("_d", "_r", "_row")
     schema = joined.drop("_gone")
     names = docs.columns
@@ -110,8 +124,9 @@ def dedup(docs: DataFrame) -> DataFrame:
                 parts = sentences(text or "")
                 drop = np.zeros(len(parts) + 1, dtype=np.int64)
                 for c in cuts:
-                    drop[c["first"]] += 1
-                    drop[c["behind"]] -= 1
+                    places = np.array(c["more"] or [c["first"], c["behind"]])
+                    np.add.at(drop, places[::2], 1)
+                    np.add.at(drop, places[1::2], -1)
                 out = np.cumsum(drop[:-1]) > 0
                 texts.append("".join(p for p, o in zip(parts, out.tolist(), strict=True) if not o))
                 removed.append(int(out.sum()))

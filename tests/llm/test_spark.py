@@ -70,6 +70,31 @@ def test_spans(spark, odd):
     assert out.count() == odd.count() and set(odd.columns) < set(out.columns) and spans.dedup(odd.limit(0)).count() == 0
 
 
+def slow_spans(rows):
+    """Text without the sentences of any place of a span but its first, by doc_id; rows have one doc_id each."""
+    known, out = set(), {}
+    for i, text in sorted(rows):
+        parts = spans.sentences(text or "")
+        words = [re.sub("[A-Z]", lambda m: m[0].lower(), p).split() for p in parts]
+        gone = set()
+        for a, b in spans.runs(list(map(len, words))):
+            key = tuple(map(tuple, filter(None, words[a:b])))
+            gone |= set(range(a, b)) if key in known else set()
+            known.add(key)
+        out[i] = (text if not gone else "".join(p for k, p in enumerate(parts) if k not in gone), len(gone))
+    return out
+
+
+def test_spans_by_brute_force(spark):
+    line = "Some words that come again and again in one and the same text until nobody reads them.\n"
+    own = "Here stands a passage of its own, which only this text has and no other one.\nIt goes on for another line before the rest begins.\n"
+    rows = [(1, own + line * 300), (2, line * 50), (3, line), (4, f"{line}Not the same. {line}{line}{line}"), (5, None)]
+    rows += [(100 + r.doc_id, r.text) for r in table(spark, SF, "documents").select("doc_id", "text").dropDuplicates(["doc_id"]).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.text, r.n_removed) for r in spans.dedup(docs).collect()} == slow_spans(rows)
+    assert spans.spans(docs.where("doc_id < 5").withColumn("row", F.lit(0))).groupBy("hash", "doc_id").count().agg(F.max("count")).first()[0] == 2
+
+
 def test_mixing(spark, odd):
     for docs in (odd, table(spark, SF, "documents")):
         rows = mixing.mix(docs).collect()
