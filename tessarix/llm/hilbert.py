@@ -2,9 +2,12 @@
 
 Vectors are lifted to one length, so that the largest inner product is the smallest angle, and projected to a few
 dimensions by seeded orthonormal axes, anew for each curve. Shift and scale come from a bounded sample; every row gets a
-Hilbert key on each curve. Spark range-partitions the keys; a row's rank follows from its place in its partition. Ranks
-cut the curves into blocks of like size; each query visits the blocks within its window on each curve, and what the
-blocks find is merged and ranked again on the original vectors in double precision.
+Hilbert key on each curve. Spark range-partitions the keys; a row's rank follows from its place in its partition. A
+bounded sample of the queries is compared with all rows; how far from a query its true neighbours lie on the curves
+decides how many curves are used and how wide the window is: the cheapest choice that holds RECALL of them. Where the
+curves tell too little, that choice is one curve as a whole, which is exact. Ranks cut the curves into blocks of like
+size; each query visits the blocks within its window on each curve, and what the blocks find is merged and ranked again
+on the original vectors in double precision.
 
 Of equal vectors only the k + 1 with the smallest ids are candidates: no list can hold more of them, as ties go to the
 smaller id. Queries are all rows asked for. Defined results: vectors that are null, zero, of another length than most,
@@ -21,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Curves, dimensions and bits of each, rows on either side of a query, rows of a block, rows of the fitted sample.
-CURVES, DIMENSIONS, BITS, WINDOW, BLOCK, SAMPLE = 4, 8, 7, 14_336, 4096, 2000
+#: Curves at most, dimensions and bits of each, rows of a block, rows of the fitted sample.
+CURVES, DIMENSIONS, BITS, BLOCK, SAMPLE = 4, 8, 7, 4096, 2000
+#: Share of the sampled queries' true neighbours that the windows must hold, queries in that sample, blocks that wide
+#: windows take at once, queries that meet a block in one task.
+RECALL, ASKED, WIDE, TOGETHER = 0.97, 200, 8, 8192
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -73,8 +79,41 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return v.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
 
 
-def neighbours(vectors: DataFrame, wanted: Column, k: int = 20, curves: int = CURVES, dimensions: int = DIMENSIONS, bits: int = BITS, window: int = WINDOW, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row where ``wanted`` holds."""
+def nearest(rows: DataFrame, asked: list, length: int, k: int) -> DataFrame:
+    """query_id, vec_id: the true ``k`` nearest of a few queries, by brute force over all rows."""
+    ids, x = np.array([r["vec_id"] for r in asked]), np.array([r["v"] for r in asked])
+
+    def best(batches):
+        near, at = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        for b in batches:
+            theirs = b.column("vec_id").to_numpy()
+            more = x @ b.column("v").flatten().to_numpy().reshape(-1, length).T
+            more[ids[:, None] == theirs[None, :]] = -np.inf
+            near, at = np.concatenate([near, more], axis=1), np.concatenate([at, np.broadcast_to(theirs, more.shape)], axis=1)
+            top = np.lexsort((at, -near), axis=1)[:, :k]
+            near, at = np.take_along_axis(near, top, 1), np.take_along_axis(at, top, 1)
+        fine = near > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(fine)[0], pa.int32()), pa.array(at[fine]), pa.array(near[fine])], names=["q", "vec_id", "near"])
+
+    found = rows.where("not query").select("vec_id", "v").mapInArrow(best, "q int, vec_id long, near double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "vec_id"))
+    return found.withColumn("at", place).where(F.col("at") <= k).select("q", "vec_id")
+
+
+def choose(apart: np.ndarray, total: int, block: int, recall: float = RECALL) -> tuple[int, int]:
+    """Curves and window, the cheapest that hold ``recall`` of the true pairs; ``apart``: places between each, by curve."""
+    best = (total, 1, total)
+    for c in range(1, apart.shape[1] + 1 if len(apart) else 1):
+        window = int(np.sort(apart[:, :c].min(axis=1))[max(int(np.ceil(recall * len(apart))) - 1, 0)])
+        best = min(best, (c * min(2 * window + block, total), c, window))
+    return best[1:]
+
+
+def neighbours(vectors: DataFrame, wanted: Column, k: int = 20, curves: int = CURVES, dimensions: int = DIMENSIONS, bits: int = BITS, window: int | None = None, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row where ``wanted`` holds.
+
+    With a ``window``, that many rows on either side on all ``curves``; without, what the sampled queries call for.
+    """
     spark = vectors.sparkSession
     sound = usable(vectors)
     same = Window.partitionBy("v").orderBy("vec_id")
@@ -108,14 +147,34 @@ def neighbours(vectors: DataFrame, wanted: Column, k: int = 20, curves: int = CU
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["curve", "key", "vec_id", "query"]
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    ranged = cut(ranged.select("vec_id", "query", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("inside")), "ranged")
+    ranged = cut(ranged.select("curve", "vec_id", "query", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("inside")), "ranged")
     # one row for each partition
     before = ranged.groupBy("part").agg((F.max("inside") + 1).alias("held"))
     before = before.select(F.col("part").alias("p"), F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranks = ranged.join(before, F.col("part") == F.col("p")).select("vec_id", "query", (F.col("before") + F.col("inside")).alias("place"))
-    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("place") - window) / block)), F.floor((F.col("place") + window) / block))
-    blocks = ranks.select("vec_id", "query", F.explode(F.when(F.col("query"), near).otherwise(F.array(F.floor(F.col("place") / block)))).alias("block"))
-    filled = blocks.distinct().join(rows.withColumnRenamed("vec_id", "i").withColumnRenamed("query", "q"), (F.col("vec_id") == F.col("i")) & (F.col("query") == F.col("q"))).select("block", "query", "vec_id", "v")
+    total = rows.count()
+    ranks = ranged.join(before, F.col("part") == F.col("p")).select("curve", "vec_id", "query", (F.col("before") + F.col("inside") - F.col("curve") * F.lit(total)).alias("place"))
+    if window is None:
+        asked = rows.where("query").orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).select("vec_id", "v").collect()
+        if not asked:
+            return empty
+        true = nearest(rows, asked, length, k).collect()
+        some = spark.createDataFrame([(i, True) for i in {r["vec_id"] for r in asked}] + [(i, False) for i in {r["vec_id"] for r in true}], "vec_id long, query boolean")
+        at = {}
+        for r in ranks.join(F.broadcast(some), ["vec_id", "query"]).collect():
+            at.setdefault((r["vec_id"], r["query"]), np.zeros(curves))[r["curve"]] = r["place"]
+        curves, window = choose(np.array([np.abs(at[asked[r["q"]]["vec_id"], True] - at[r["vec_id"], False]) for r in true]).reshape(len(true), curves), total, block)
+        ranks = ranks.where(F.col("curve") < curves)
+        block = block * max(1, min(WIDE, window // block))
+    last = (total - 1) // block
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("place") - window) / block)), F.least(F.lit(last), F.floor((F.col("place") + window) / block)))
+    # queries that meet a block are dealt over as many tasks as keep each small; the block's rows go to each of these
+    meet = rows.where("query").count() * min(2 * window + 2 * block, total) // total
+    deal = max(1, -(-meet // TOGETHER))
+    slices = F.when(F.col("query"), F.array(F.pmod(F.xxhash64("vec_id"), F.lit(deal)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long")))
+    visits = F.when(F.col("query"), near).otherwise(F.array(F.floor(F.col("place") / block)))
+    blocks = ranks.select("curve", "vec_id", "query", F.explode(visits).alias("block"), slices.alias("slices"))
+    blocks = blocks.select("curve", "block", "vec_id", "query", F.explode("slices").alias("slice"))
+    filled = blocks.distinct().join(rows.withColumnRenamed("vec_id", "i").withColumnRenamed("query", "q"), (F.col("vec_id") == F.col("i")) & (F.col("query") == F.col("q"))).select("curve", "block", "slice", "query", "vec_id", "v")
 
     def visit(t: pa.Table) -> pa.Table:
         query = t.column("query").to_numpy()
@@ -137,7 +196,7 @@ def neighbours(vectors: DataFrame, wanted: Column, k: int = 20, curves: int = CU
             out[2].append(got[fine])
         return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "near": np.concatenate(out[2])})
 
-    found = filled.groupBy("block").applyInArrow(visit, "query_id long, vec_id long, near double")
+    found = filled.groupBy("curve", "block", "slice").applyInArrow(visit, "query_id long, vec_id long, near double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
     best = found.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).where(F.col("at") <= 2 * k).drop("at")
     mine = rows.where("query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
