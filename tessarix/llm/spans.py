@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut after sentence ends and line ends, and long sentences after every 16 words. Every run of sentences that
-is as short as can be with two sentences and 20 words - from each sentence on, and up to each sentence - is a span; its
-normalised words are hashed. Spans meet by hash over the whole corpus; the first place of a span, by doc_id and then
+A text is cut after sentence ends and line ends, and sentences of 16 words and more also where their words say so: before
+a pair of words whose hash is the least of the pairs near it. So a passage gets the same cuts inside wherever it stands.
+In scripts without spaces each character is a word. Every run of sentences that is as short as can be with two sentences
+and 20 words - from each sentence on, and up to each sentence - is a span; its normalised words are hashed. Spans meet by hash over the whole corpus; the first place of a span, by doc_id and then
 position, stays, and sentences covered by any other place of it go.
 
 Defined results: a null text stays null, an empty one empty; a text without repeated spans comes back byte for byte;
@@ -13,6 +14,7 @@ with null doc_id come first in order; an empty table gives an empty result. All
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +25,41 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 LEAST_SENTENCES, LEAST_WORDS, LONGEST = 2, 20, 16
-#: Up to a stop with white space behind it, a line end, or the end of the text; a stop inside a word ends nothing.
-_SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|[.!?])[^\n.!?]*)*(?:[.!?]+\s+|\n\s*|[.!?]*$)")
-_WORD = re.compile(r"\S+\s*")
+#: A cut stands before the least of the pairs of words this far to either side.
+NEAR = 3
+#: Stops that need white space behind them, stops that don't, and what may close a sentence behind these.
+_STOP, _WIDE, _CLOSE = ".!?…؟۔।॥።", "。！？｡", "」』）”’"
+#: Up to a stop, a line end, or the end of the text; a stop inside a word ends nothing.
+_SENTENCE = re.compile(rf"[^\n{_STOP}{_WIDE}]*(?:[{_STOP}]+(?!\s|[{_STOP}{_WIDE}])[^\n{_STOP}{_WIDE}]*)*(?:[{_STOP}]*[{_WIDE}][{_STOP}{_WIDE}{_CLOSE}]*\s*|[{_STOP}]+\s+|\n\s*|[{_STOP}]*$)")
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han.
+_UNSPACED = "฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
+_BARE = re.compile(f"[{_UNSPACED}]")
+_SPACED_WORD = re.compile(r"\S+\s*")
+_WORD = re.compile(rf"(?:[{_UNSPACED}]|[^\s{_UNSPACED}]+)\s*")
+
+
+def split(text: str) -> list[str]:
+    """The words of a text, without white space."""
+    return [w.rstrip() for w in _WORD.findall(text)] if _BARE.search(text) else text.split()
+
+
+def cuts(words: list[str]) -> list[int]:
+    """Where a long sentence is cut, by the words near each place alone: before the least pair, ties included."""
+    plain = [w.rstrip().encode().lower() for w in words]
+    marks = [zlib.crc32(b, zlib.crc32(a)) for a, b in zip(plain, plain[1:], strict=False)]
+    return [i for i in range(1, len(marks)) if marks[i] == min(marks[max(1, i - NEAR) : i + NEAR + 1])]
 
 
 def sentences(text: str, longest: int = LONGEST) -> list[str]:
     """The sentences of a text with the white space behind them: joined they are the text."""
     out: list[str] = []
+    word = _WORD if _BARE.search(text) else _SPACED_WORD
     for piece in filter(None, _SENTENCE.findall(text)):
-        words = _WORD.findall(piece)
-        if len(words) > longest:
+        words = word.findall(piece)
+        if len(words) >= longest:
+            at = [0, *cuts(words), len(words)]
             words[0] = piece[: len(piece) - len(piece.lstrip())] + words[0]
-            out += ["".join(words[i : i + longest]) for i in range(0, len(words), longest)]
+            out += ["".join(words[i:j]) for i, j in zip(at, at[1:], strict=False)]
         else:
             out.append(piece)
     return out
@@ -77,7 +101,7 @@ def spans(docs: DataFrame) -> DataFrame:
             out = [[], [], [], [], [], []]
             for name, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 # lower() of bytes touches A-Z alone; a run's hash is that of its sentences' hashes
-                words = [s.split() for s in sentences((text or "").encode().lower().decode())]
+                words = [split(s) for s in sentences((text or "").encode().lower().decode())]
                 marks = [xxhash.xxh3_128_digest(" ".join(w).encode()) if w else b"" for w in words]
                 known, before = {}, len(out[0])
                 for i, j in runs(list(map(len, words))):

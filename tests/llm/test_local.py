@@ -118,3 +118,37 @@ def test_quote_levels():
     text = "I agree.\nOn Monday, X wrote:\n> Is it so?\n>> First.\n> Yes.\nBye."
     assert quotes.levels(text) == [(0, "I agree."), (1, "Is it so?"), (2, "First."), (1, "Yes."), (0, "Bye.")]
     assert quotes.hashes("Is  it\nSO?") == quotes.hashes("is it so?")
+
+
+def caught(a, b):
+    """Words of ``b`` in spans that ``a`` has too."""
+    def places(text):
+        words = [spans.split(p.lower()) for p in spans.sentences(text)]
+        return words, {(i, j): tuple(w for p in words[i:j] for w in p) for i, j in spans.runs(list(map(len, words)))}
+
+    known, (words, found) = set(places(a)[1].values()), places(b)
+    return sum(len(words[k]) for k in {k for (i, j), t in found.items() if t in known for k in range(i, j)})
+
+
+def test_passages_at_any_offset():
+    rnd = random.Random(7)
+    shares = []
+    for n in range(300):
+        p = " ".join(f"w{rnd.randrange(5000)}" for _ in range(60))
+        if n % 2:
+            p = p.replace(" ", ". ", 30).replace(". ", " ", 29)
+        own = [" ".join(f"{c}{rnd.randrange(5000)}" for _ in range(rnd.randrange(1, 40))) for c in "abcd"]
+        shares.append(caught(f"{own[0]} {p} {own[1]}", f"{own[2]} {p.upper()} {own[3]}") / 60)
+    assert min(shares) > 0 and sum(shares) / len(shares) > 0.7
+    han = "".join(chr(0x4E00 + rnd.randrange(5000)) for _ in range(60))
+    assert caught("甲乙丙" + han, "子丑" + han + "寅卯") > 30
+    assert len(spans.sentences("今日は雨。明日は晴れ！")) == 2
+    assert caught("one two " + "same " * 200, "three " + "same " * 300) > 250
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n.!?。！」…日本ไทยaB", max_size=120))
+def test_sentences_join_to_the_text(text):
+    assert "".join(spans.sentences(text)) == text
+    assert "".join(spans.split(text)) == "".join(text.split())
+    assert list(map(len, map(spans.split, spans.sentences(text)))) == list(map(len, map(spans.split, spans.sentences(text.lower()))))
