@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessarix.functions import text as tx
 from tessarix.functions.dialect import Spark
+from tessarix.plans import catalog
+from tessarix.plans.fixtures import fx
 from tessarix.sources import dumps, files, reports
 from tessarix.streaming import incremental
 
@@ -108,3 +110,19 @@ def test_streams(spark, tmp_path):
     held = spark.createDataFrame([("u", "old"), ("v", "same")], "uid string, fingerprint string")
     incremental.invalidation_stream(changes, held, str(tmp_path / "cp2"), str(tmp_path / "lost")).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "lost/batch=0")).collect()] == [("u", "old", "new")]
+
+
+def test_suggestions_take_dump_narratives(spark):
+    """Studies without a conflict find their own dump narrative, sql before txt where points tie; conflicting ones find nothing."""
+    sf = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["W1_top_suggestions"](spark, sf).toPandas()
+    orders = spark.read.parquet(f"{sf}/orders.parquet").toPandas().o_orderkey
+    silent = {f"1.2.840.99.{k}" for k in orders if k % 7 == 0 and k % 53}
+    assert silent and set(got.source) == {"sql", "txt"}
+    own = got[got.source == "sql"].groupby("uid").report.apply(set)
+    assert any(int(u.rsplit(".", 1)[1]) in own.get(u, ()) for u in silent)
+    for _, g in got.sort_values(["uid", "position"]).groupby("uid"):
+        rows = list(zip(g.bucket.map({"strong": 0, "review": 1, "differences": 2}), -g.points, g.source, g.report, strict=True))
+        assert rows == sorted(rows)
+    studies = spark.sql(f"with {fx(catalog.over(spark, sf))} select uid from studies where conflict").toPandas()
+    assert len(studies) and not set(studies.uid) & set(got.uid)
