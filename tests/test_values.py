@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessarix.functions import text as tx
 from tessarix.functions.dialect import Spark
 from tessarix.plans import catalog
-from tessarix.plans.fixtures import fx
+from tessarix.plans.fixtures import TABLES, fx
 from tessarix.sources import dumps, files, reports
 from tessarix.streaming import incremental
 
@@ -126,3 +126,23 @@ def test_suggestions_take_dump_narratives(spark):
         assert rows == sorted(rows)
     studies = spark.sql(f"with {fx(catalog.over(spark, sf))} select uid from studies where conflict").toPandas()
     assert len(studies) and not set(studies.uid) & set(got.uid)
+
+
+def test_summary_counts_pairs_before_the_limit(spark, tmp_path):
+    """Eight orders of one patient, day and study kind, whose reports name no accession: 8 x 8 pairs."""
+    sf = "/root/testdata/sf0.001"
+    for name in TABLES:
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name in ("orders", "lineitem"):
+            # reports of kind 2 hold name, birth date and study date, but no accession
+            keys = [12 + 10 * i for i in range(20) if (12 + 10 * i) % 7 and (12 + 10 * i) % 53][:8]
+            one = df.limit(1).drop("o_orderkey" if name == "orders" else "l_orderkey")
+            df = one.crossJoin(spark.createDataFrame([(k,) for k in keys], f"{'o' if name == 'orders' else 'l'}_orderkey long")).select(*df.columns)
+            if name == "orders":
+                df = df.withColumn("o_custkey", F.lit(1).cast(df.schema["o_custkey"].dataType))
+            else:
+                df = df.withColumn("l_linenumber", F.lit(1).cast(df.schema["l_linenumber"].dataType))
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    row = catalog.QUERIES["A17_discovery_summary"](spark, str(tmp_path)).first()
+    assert (row.studies, row.with_candidates, row.without, row.pairs) == (8, 8, 0, 64)
+    assert catalog.QUERIES["J4_discovery"](spark, str(tmp_path)).count() == 8 * 5
