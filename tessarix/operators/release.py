@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.dialect import Spark
 from ..plans.fixtures import fx
 from .linkage import suggested
+from .studies import matched
 
 
 def assoc(d: Spark) -> str:
@@ -16,8 +17,8 @@ def assoc(d: Spark) -> str:
 
 
 def reconciled(d: Spark) -> str:
-    """Associations kept and dropped after a rescan, with the first reason; approvals never survive one."""
-    return f"with {assoc(d)} select case when reason = '' then 'kept' else 'dropped' end as outcome, reason, count(*) as studies, sum(uses - uses) as approvals from judged group by 1, 2"
+    """Associations kept and dropped after a rescan, with the first reason, and the approvals that held before it."""
+    return f"with {assoc(d)} select case when reason = '' then 'kept' else 'dropped' end as outcome, reason, count(*) as studies, sum(case when approved_hash = approval_hash then 1 else 0 end) as approvals_before from judged group by 1, 2"
 
 
 def admissible(d: Spark) -> str:
@@ -71,10 +72,11 @@ def header_check(d: Spark) -> str:
 
 
 def detail(d: Spark) -> str:
-    """A study's candidates by strength of reason, with its associated report appended."""
-    return f"""with {fx(d)}, candidates as (select uid, report, path, case when {d.has('text', '(?i)study instance uid')} then 'Study UID' when {d.has('text', '(?i)accession')} then 'Accession / filename' else 'Last name' end as reason from studies join fx_reports on report = study where study % 4 <> 1),
-      every as (select uid, report, path, reason from candidates union all select s.uid, r.report, r.path, 'associated' from studies s join fx_reports r on r.report = s.study left join candidates c on c.uid = s.uid and c.report = r.report where s.study % 4 <> 0 and c.uid is null)
-      select reason, case when reason like '%Study UID%' then 0 when reason like '%Accession%' then 1 else 2 end as strength, count(*) as reports, min(path) as first_path from every group by 1, 2"""
+    """A study's candidates (E12's) by strength of reason and path, with its associated report appended if it is none of them."""
+    return f"""with {matched(d)}, linked as (select uid as luid, case when study % 29 = 0 then 1 else study end as lreport from studies where study % 4 <> 0),
+      every as (select uid, report, reason, case when reason like '%Study UID%' then 0 when reason like '%Accession%' then 1 else 2 end as strength from candidates
+        union all select luid, lreport, 'associated', 3 from linked left join candidates on uid = luid and report = lreport where uid is null)
+      select uid, e.report as report, path, reason, strength, row_number() over (partition by uid order by strength, path, e.report) - 1 as position from every e join k on k.report = e.report"""
 
 
 QUERIES = {"V1_reconciled": reconciled, "V2_admissible": admissible, "V5_exportable": exportable, "S14_package_check": manifest, "T1_worklist": worklist, "J15_review_queue": queue, "A29_jobs": jobs, "S15_audit": audit, "J21_header_check": header_check, "J27_study_detail": detail}

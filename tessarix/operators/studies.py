@@ -49,15 +49,20 @@ def folder_scope(d: Spark) -> str:
     select a.folder from chosen a left join chosen b on a.folder like concat(b.folder, '/%') where b.folder is null"""
 
 
-def states(d: Spark) -> str:
-    """Exact candidates by identifier, surname candidates, and the state that follows."""
-    return f"""with {fx(d)}, k as (select report, path, text from fx_reports),
+def matched(d: Spark) -> str:
+    """Exact candidates by identifier, and surname candidates, once for each study and report."""
+    return f"""{fx(d)}, k as (select report, path, text from fx_reports),
     keyed as (select report, concat('U:', u) as key, 'Study UID' as reason from (select report, {d.explode(_scan(d, 'uid'))} as u from k) a union all
       select report, concat('A:', u), 'Accession / filename' from (select report, {d.explode(_scan(d, 'accession'))} as u from k) b union all select report, concat('A:', {_stem(d)}), 'Accession / filename' from k),
     exact as (select uid, report, {d.csv('reason')} as reason, 1 as priority from (select uid, report, reason from studies join keyed on key = concat('U:', uid) union all select uid, report, reason from studies join keyed on key = concat('A:', accession)) e group by uid, report),
     words as (select distinct report, w from (select report, {d.explode(d.rxall("upper(concat(text, ' ', path))", '[A-Z0-9]+'))} as w from k) x),
     surnames as (select uid, report, 'Last name in report or filename' as reason, 2 as priority from (select uid, report, row_number() over (partition by uid order by report) as rn from studies join words on w = {_surname(d)}) s where rn <= 101),
-    candidates as (select uid, report, reason, priority from (select *, row_number() over (partition by uid, report order by priority) as rn from (select * from exact union all select * from surnames) u) r where rn = 1),
+    candidates as (select uid, report, reason, priority from (select *, row_number() over (partition by uid, report order by priority) as rn from (select * from exact union all select * from surnames) u) r where rn = 1)"""
+
+
+def states(d: Spark) -> str:
+    """Exact candidates by identifier, surname candidates, and the state that follows."""
+    return f"""with {matched(d)},
     per as (select uid as cuid, count(*) as hits, sum(case when priority = 1 then 1 else 0 end) as n_exact from candidates group by uid)
     select state, count(*) as studies, sum(n) as candidates from (select case when conflict then 'conflict' when hits = 1 and n_exact > 0 then 'candidate' when hits > 0 then 'ambiguous' else 'unmatched' end as state, hits as n from studies left join per on uid = cuid) t group by state"""
 

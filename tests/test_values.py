@@ -146,3 +146,16 @@ def test_summary_counts_pairs_before_the_limit(spark, tmp_path):
     row = catalog.QUERIES["A17_discovery_summary"](spark, str(tmp_path)).first()
     assert (row.studies, row.with_candidates, row.without, row.pairs) == (8, 8, 0, 64)
     assert catalog.QUERIES["J4_discovery"](spark, str(tmp_path)).count() == 8 * 5
+
+
+def test_study_detail_lists_all_candidates(spark):
+    """Rows of all of a study's candidates in order, the associated report behind them; approvals are read, not a constant."""
+    got = catalog.QUERIES["J27_study_detail"](spark, "/root/testdata/sf0.001").toPandas()
+    assert not got.duplicated(["uid", "report"]).any()
+    others = got[got.uid.str.rsplit(".", n=1).str[1].astype(int) != got.report]
+    assert (others.reason == "Last name in report or filename").any() and (got.reason == "associated").any()
+    for _, g in got.sort_values(["uid", "position"]).groupby("uid"):
+        rows = list(zip(g.strength, g.path, g.report, strict=True))
+        assert rows == sorted(rows) and g.position.tolist() == list(range(len(g))) and (g.reason == "associated").sum() <= 1
+    approvals = catalog.QUERIES["V1_reconciled"](spark, "/root/testdata/sf0.001").toPandas()
+    assert approvals.approvals_before.sum() > 0 and (approvals.approvals_before <= approvals.studies).all()
