@@ -159,3 +159,14 @@ def test_study_detail_lists_all_candidates(spark):
         assert rows == sorted(rows) and g.position.tolist() == list(range(len(g))) and (g.reason == "associated").sum() <= 1
     approvals = catalog.QUERIES["V1_reconciled"](spark, "/root/testdata/sf0.001").toPandas()
     assert approvals.approvals_before.sum() > 0 and (approvals.approvals_before <= approvals.studies).all()
+
+
+def test_label_coverage(spark):
+    """Label counts follow from the kinds of the derived reports; mentions inside a line are no labels."""
+    sf = "/root/testdata/sf0.001"
+    keys = [k for k in spark.read.parquet(f"{sf}/orders.parquet").toPandas().o_orderkey if k % 7]
+    of = lambda *kinds: sum(k % 10 in kinds for k in keys)
+    row = catalog.QUERIES["A16_label_coverage"](spark, sf).first()
+    assert (row.label_medical_record, row.label_accession, row.label_exam_date) == (of(0), of(0, 3, 4), of(0, 2, 3))
+    assert (row.label_service_date, row.label_result_date, row.label_patient_name) == (of(1, 7), of(6), of(0, 2, 3, 4, 6, 7, 8))
+    assert row.with_study_uid == of(8) and row.with_dob == of(0, 2, 3)
