@@ -9,43 +9,46 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import ByteLevelEncoder, held
+from .bpe import ByteLevelCoder, held
 from .common import plus, schema_of, slices, table
 
 
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]), kind, safe=False))
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32(), safe=False))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] = ["doc_id"], offsets: bool = True) -> DataFrame:  # noqa: B006
-    """``keep``, ids array<int> and, with ``offsets``, ends array<int>: the byte offset at which each id ends."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] = ["doc_id"], offsets: bool = True, back: bool = False) -> DataFrame:  # noqa: B006
+    """``keep``, ids array<int>; with ``offsets``, ends array<int>: the byte offset at which each id ends; with ``back``,
+    decoded binary: what ``decode`` gives for the ids, without a second way through Python."""
 
     def run(batches):
-        coder = held(ByteLevelEncoder, ranks_path, pattern)
-        for batch in slices(batches, text):
-            found = [np.frombuffer(coder.encode(t or ""), "<u4") for t in batch.column(text).to_pylist()]
-            more = {"ids": _lists(found, pa.int32())}
+        coder = held(ByteLevelCoder, ranks_path, pattern)
+        for batch in slices(batches, text, 4 << 20):
+            ids, ends = coder.encode_all(batch.column(text))
+            more = {"ids": _lists(ids, ends)}
             if offsets:
-                more["ends"] = _lists([coder.ends(x) for x in found], pa.int32())
+                more["ends"] = _lists(coder.byte_ends(ids, ends), ends)
+            if back:
+                more["decoded"] = coder.decode_all(ids, ends)
             yield plus(batch, keep, **more)
 
-    return df.select(*keep, *[text][: text not in keep]).mapInArrow(run, schema_of(df, keep, "ids array<int>" + ", ends array<int>" * offsets))
+    kinds = "ids array<int>" + ", ends array<int>" * offsets + ", decoded binary" * back
+    return df.select(*keep, *[text][: text not in keep]).mapInArrow(run, schema_of(df, keep, kinds))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """``keep`` and decoded binary: the bytes that the ids stand for. Null ids give no bytes."""
 
     def run(batches):
-        coder = held(ByteLevelEncoder, ranks_path, pattern)
+        coder = held(ByteLevelCoder, ranks_path, pattern)
         for batch in batches:
             column = batch.column(ids)
-            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            out = [coder.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield plus(batch, keep, decoded=pa.array(out, pa.binary()))
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            yield plus(batch, keep, decoded=coder.decode_all(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)))
 
     return df.select(*keep, *[ids][: ids not in keep]).mapInArrow(run, schema_of(df, keep, "decoded binary"))
 
@@ -53,9 +56,8 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", keep:
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
     ids = F.col("ids")
-    coded = encode(docs, ranks_path, pattern, offsets=False).select("doc_id", "ids", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"))
-    back = decode(coded, ranks_path, pattern, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(docs, ranks_path, pattern, offsets=False, back=True)
+    return coded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import WordEncoder, held
+from .bpe import WordCoder, held
 from .common import shared_dir, slices, table
 
 #: (ids, bits of each) by selector; a fixed value of the format.
@@ -35,49 +35,50 @@ MAGIC = b"TS8B\x01\0\0\0"
 BLOCK_IDS = 1 << 16
 END_ID = 1
 _COUNTS = np.array([n for n, _ in SELECTORS] + [1], dtype=np.int64)
+_WIDTHS = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
+
+
+def widths(ids: np.ndarray) -> np.ndarray:
+    """The bits of each id, 61 for those that a word can't hold."""
+    if not len(ids) or ids.max() < len(_WIDTHS):
+        return _WIDTHS[ids]
+    inexact = ids >> np.uint64(52) != 0  # too long for a double's fraction
+    out = np.frexp(np.where(inexact, np.uint64(0), ids).astype(np.float64))[1].astype(np.uint8)
+    out[inexact] = [min(int(v).bit_length(), 61) for v in ids[inexact]]
+    return out
 
 
 def pack(ids: np.ndarray) -> bytes:
     """The block of unsigned ids."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
-    big = ids >> np.uint64(60) != 0
-    escapes = ids[big]
     width = np.zeros(n + 256, dtype=np.uint8)
-    small = np.where(big, np.uint64(0), ids)
-    width[:n] = np.frexp(small.astype(np.float64))[1]
-    inexact = small >> np.uint64(52) != 0
-    if inexact.any():
-        width[:n][inexact] = [int(v).bit_length() for v in small[inexact]]
-    width[:n][big] = 61
-    step = np.zeros(n, dtype=np.uint8)
-    select = np.full(n, ESCAPE, dtype=np.uint8)
-    most, reach = {1: width}, 1
-    for count, bits in reversed(SELECTORS):  # the widest window whose ids fit is taken, so later, wider ones win
+    width[:n] = widths(ids)
+    big = width[:n] == 61
+    escapes = ids[big]
+    select = np.where(big, ESCAPE, len(SELECTORS) - 1).astype(np.uint8)
+    most, reach = width, 1  # most[i]: the widest of the ids i to i + reach - 1
+    for s in range(len(SELECTORS) - 2, -1, -1):  # the most ids that fit are taken, so later, longer runs win
+        count, bits = SELECTORS[s]
         while reach * 2 <= count:
-            most[reach * 2] = np.maximum(most[reach], np.concatenate([most[reach][reach:], np.zeros(reach, np.uint8)]))
+            most = np.maximum(most, np.concatenate([most[reach:], np.zeros(reach, np.uint8)]))
             reach *= 2
-        half = most[1 << (count.bit_length() - 1)]
-        shift = count - (1 << (count.bit_length() - 1))
-        top = np.maximum(half[:n], half[shift : n + shift]) if shift else half[:n]
-        fits = top <= bits
-        step[fits] = count
-        select[fits] = SELECTORS.index((count, bits))
-    step[big] = 1
-    select[big] = ESCAPE
-    at, i, steps = [], 0, step.tolist()
+        np.copyto(select, np.uint8(s), where=np.maximum(most[:n], most[count - reach : n + count - reach]) <= bits)
+    at, i, steps = [], 0, _COUNTS[select].tolist()
     while i < n:
         at.append(i)
         i += steps[i]
     at = np.array(at, dtype=np.int64)
     chosen = select[at].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([small, np.zeros(256, np.uint64)])
+    padded = np.concatenate([np.where(big, np.uint64(0), ids), np.zeros(256, np.uint64)])
     for s, (count, bits) in enumerate(SELECTORS):
         here = np.flatnonzero(chosen == s)
         if bits and len(here):
+            held = words[here]
             for k in range(count):
-                words[here] |= padded[at[here] + k] << np.uint64(bits * k)
+                held |= padded[at[here] + k] << np.uint64(bits * k)
+            words[here] = held
     words[chosen == ESCAPE] |= np.arange(len(escapes), dtype=np.uint64)
     return MAGIC + struct.pack("<QQQ", n, len(words), len(escapes)) + words.astype("<u8").tobytes() + escapes.astype("<u8").tobytes()
 
@@ -108,22 +109,26 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID,
     """Write the ids of ``docs`` in ascending doc_id order: rows (shard, block, n_ids, doc_ids, lengths, payload)."""
 
     def run(batches):
-        coder, shard = held(WordEncoder, tokenizer_path), None
-        end, number, names, lengths, parts, size = struct.pack("<I", end_id), 0, [], [], [], 0
+        coder, shard = held(WordCoder, tokenizer_path), None
+        number, names, lengths, parts, size = 0, [], [], [], 0
 
         def block():
             return pa.RecordBatch.from_pydict(
-                {"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int64()), "n_ids": pa.array([size], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "payload": pa.array([pack(np.frombuffer(b"".join(parts), "<u4"))], pa.binary())}
+                {"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int64()), "n_ids": pa.array([size], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "payload": pa.array([pack(np.concatenate(parts))], pa.binary())}
             )
 
-        for batch in slices(batches, "text"):
-            for pid, name, text in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for batch in slices(batches, "text", 4 << 20):
+            ids, ends = coder.encode_all(batch.column("text"))
+            ids = np.insert(ids, ends, end_id)
+            ends = ends + np.arange(1, len(ends) + 1)
+            begin = 0
+            for pid, name, end in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
                 shard = pid
-                ids = coder.encode(text or "") + end
                 names.append(name)
-                lengths.append(len(ids) // 4)
-                parts.append(ids)
-                size += len(ids) // 4
+                lengths.append(end - begin)
+                parts.append(ids[begin:end])
+                size += end - begin
+                begin = end
                 if size >= block_ids:
                     yield block()
                     number, names, lengths, parts, size = number + 1, [], [], [], 0

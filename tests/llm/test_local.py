@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,18 +13,17 @@ from tokenizers import Tokenizer
 
 from tessarix.llm import bpe, hilbert, jaccard, matroska, quotes, simple8b, spans, templates
 
-BYTES = bpe.ByteLevelEncoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
-WORDS = bpe.WordEncoder(P.path("word_bpe_49k.json"))
+BYTES = bpe.ByteLevelCoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+WORDS = bpe.WordCoder(P.path("word_bpe_49k.json"))
 TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
 WHOLE = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-WHOLE.encode_special_tokens = True
 TEXTS = st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\r\x0b\x1c\x85 　aAzΣé'sreIL12!?.-日")), max_size=60)
 
 
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_byte_level(text):
-    ids = np.frombuffer(BYTES.encode(text), "<u4")
+    ids = BYTES.encode(text)
     assert ids.tolist() == TIK.encode_ordinary(text)
     assert BYTES.decode(ids) == text.encode()
 
@@ -31,13 +31,28 @@ def test_byte_level(text):
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_words(text):
-    assert np.frombuffer(WORDS.encode(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    assert WORDS.encode(text).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
 def test_long_and_special():
-    for text in ("a" * 50_000, " " * 5000 + "x", "<|endoftext|> it's", "=" * 999):
-        assert np.frombuffer(BYTES.encode(text), "<u4").tolist() == TIK.encode_ordinary(text)
-        assert np.frombuffer(WORDS.encode(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    for text in ("a" * 50_000, " " * 5000 + "x", "<|endoftext|> it's", "a <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|>", "=" * 999):
+        assert BYTES.encode(text).tolist() == TIK.encode_ordinary(text)
+        assert WORDS.encode(text).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXTS), max_size=8), st.integers(0, 3))
+def test_many_texts_at_once(texts, skip):
+    held = pa.array(texts, pa.string())[min(skip, len(texts)) :]
+    whole = [t or "" for t in held.to_pylist()]
+    ids, ends = BYTES.encode_all(held)
+    parts = np.split(ids, ends[:-1]) if len(ends) else []
+    assert [p.tolist() for p in parts] == [TIK.encode_ordinary(t) for t in whole]
+    assert BYTES.decode_all(ids, ends).to_pylist() == [t.encode() for t in whole]
+    if len(ids):
+        assert [e.tolist() for e in np.split(BYTES.byte_ends(ids, ends), ends[:-1])] == [np.cumsum([len(TIK.decode_single_token_bytes(i)) for i in p]).tolist() for p in parts]
+    ids, ends = WORDS.encode_all(held)
+    assert [p.tolist() for p in (np.split(ids, ends[:-1]) if len(ends) else [])] == [WHOLE.encode(t, add_special_tokens=False).ids for t in whole]
 
 
 @settings(max_examples=200, deadline=None)
