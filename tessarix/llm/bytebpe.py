@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ByteLevelCoder, held
-from .common import plus, schema_of, slices, table
+from .common import in_batches, plus, schema_of, slices, table
 
 
 def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
@@ -37,7 +37,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", kee
             yield plus(batch, keep, **more)
 
     kinds = "ids array<int>" + ", ends array<int>" * offsets + ", decoded binary" * back
-    return df.select(*keep, *[text][: text not in keep]).mapInArrow(run, schema_of(df, keep, kinds))
+    return in_batches(df.select(*keep, *[text][: text not in keep]), run, schema_of(df, keep, kinds))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
@@ -50,7 +50,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", keep:
             sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
             yield plus(batch, keep, decoded=coder.decode_all(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)))
 
-    return df.select(*keep, *[ids][: ids not in keep]).mapInArrow(run, schema_of(df, keep, "decoded binary"))
+    return in_batches(df.select(*keep, *[ids][: ids not in keep]), run, schema_of(df, keep, "decoded binary"))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

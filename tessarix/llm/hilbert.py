@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, in_batches, table
 
 #: Curves at most, dimensions and bits of each, rows of a block, rows of the fitted sample.
 CURVES, DIMENSIONS, BITS, BLOCK, SAMPLE = 4, 8, 7, 4096, 2000
@@ -95,7 +95,7 @@ def nearest(rows: DataFrame, asked: list, length: int, k: int) -> DataFrame:
         fine = near > -np.inf
         yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(fine)[0], pa.int32()), pa.array(at[fine]), pa.array(near[fine])], names=["q", "vec_id", "near"])
 
-    found = rows.where("not query").select("vec_id", "v").mapInArrow(best, "q int, vec_id long, near double")
+    found = in_batches(rows.where("not query").select("vec_id", "v"), best, "q int, vec_id long, near double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "vec_id"))
     return found.withColumn("at", place).where(F.col("at") <= k).select("q", "vec_id")
 
@@ -143,7 +143,7 @@ def neighbours(vectors: DataFrame, wanted: Column, k: int = 20, curves: int = CU
                 cells = np.clip(((1 / (1 + np.exp(-1.7 * z)) + shift[c] / 8) * (1 << bits)), 0, (1 << bits) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c), pa.int32()), pa.array(hilbert_keys(cells.astype(np.uint64), bits)), b.column("vec_id"), b.column("query")], names=["curve", "key", "vec_id", "query"])
 
-    keyed = rows.mapInArrow(keys, "curve int, key long, vec_id long, query boolean")
+    keyed = in_batches(rows, keys, "curve int, key long, vec_id long, query boolean")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["curve", "key", "vec_id", "query"]
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())

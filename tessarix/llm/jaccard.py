@@ -23,66 +23,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import BASE, cut, few, free, in_batches, joined, mixed, slices, table, unused, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 #: The part of the hash range in which private shingles are counted, in 1/1024.
 COUNTED = 400
 #: Pivots that a group is verified against in the first round.
 PIVOTS = 2
-#: A side is sent to all executors only if it has this many ids at most (16 bytes each).
-BROADCAST_IDS = 2_000_000
-
 _U = np.uint64
-_rng = np.random.default_rng(20240229)
-_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_PLACES = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = _U(0x9E3779B97F4A7C15)
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-
+_PLACES = np.random.default_rng(7).integers(1, 1 << 63, 8, dtype=np.uint64) * _U(2) + _U(1)
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
 
-
-def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text, computed for all of them at once."""
-    if not texts:
-        return []
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    starts_of = np.cumsum([0] + [len(t) + 1 for t in texts])
-    space = _SPACES[data]
-    first = ~space & np.concatenate(([True], space[:-1]))
-    solid = np.flatnonzero(~space)
-    if not len(solid):
-        return [np.empty(0, np.uint64) for _ in texts]
-    begin = np.flatnonzero(first)
-    offset = np.searchsorted(solid, begin)
-    length = np.diff(np.append(offset, len(solid)))
-    place = np.arange(len(solid)) - np.repeat(offset, length)
-    powers = np.cumprod(np.full(int(length.max()), _BASE, dtype=np.uint64))
-    word = _mixed(np.add.reduceat(_BYTES[_FOLD[data[solid]]] * powers[place], offset))
-    doc = np.searchsorted(starts_of, begin, side="right") - 1
-    counts = np.bincount(doc, minlength=len(texts))
+    data, starts = joined(texts)
+    begin, _, word = word_hashes(data)
+    counts = np.diff(np.searchsorted(begin, starts))
     ends = np.cumsum(counts)
     many = len(word) - width + 1
     if many > 0:
         run = np.zeros(many, dtype=np.uint64)
         for k in range(width):
             run += word[k : k + many] * _PLACES[k]
-        run = _mixed(run)
+        run = mixed(run)
     out = []
     for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
         start = end - n
         if n >= width:
             out.append(np.unique(run[start : end - width + 1]))
         elif n:
-            out.append(_mixed((word[start:end] * _PLACES[:n]).sum(keepdims=True) + np.array([n], np.uint64) * _BASE))
+            out.append(mixed((word[start:end] * _PLACES[:n]).sum(keepdims=True) + np.array([n], np.uint64) * BASE))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -101,30 +71,25 @@ def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n, two hashes of the whole set, and the shingles in the counted part of the hash range."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
-            sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()])
+        for batch in slices(batches, "text", 1 << 20):
+            sets = shingle_sets(batch.column("text"))
             with np.errstate(over="ignore"):
                 one = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-                two = np.array([_mixed(s ^ _BASE).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+                two = np.array([mixed(s ^ BASE).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), _arrays([_low(s) for s in sets])], names=["doc_id", "n", "one", "two", "low"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, one long, two long, low array<long>")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, one long, two long, low array<long>")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
     """doc_id and the whole set of each row."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
-            sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()])
+        for batch in slices(batches, "text", 1 << 20):
+            sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _arrays(sets)], names=["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<long>")
-
-
-def few(ids: DataFrame) -> DataFrame:
-    """``ids``, a table with a written count of rows, to be sent to all executors if it is small enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, tokens array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -143,7 +108,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(least, F.col("a") == F.col("u"))
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = cut(small.distinct(), "links")
+        old, edges = edges, cut(small.distinct(), "links")
+        free(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -163,15 +129,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     forgiven = F.floor(F.col("n") * (100 - percent) / 100).cast("long")
 
-    # 1. profiles and classes of equal sets
+    # 1. profiles and classes of equal sets; a class of many copies is one row, and the join of its members can be split
     found = cut(profiles(docs), "profiles")
-    classes = found.where("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
-    members = cut(found.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"], "left").select("doc_id", "n", "rep"), "members")
+    same = ["n", "one", "two"]
+    classes = found.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    classes = cut(classes, "classes")
+    rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", F.when(F.col("n") > 0, F.col("doc_id")))).alias("rep")
+    members = cut(found.select("doc_id", *same).join(few(classes), same, "left").select("doc_id", "n", rep), "members")
 
     # 2. documents with too many private shingles leave
     private = found.where("doc_id is not null").select("doc_id", F.explode("low").alias("t")).groupBy("t").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e")).where("d = e").groupBy("d").agg(F.count("*").alias("private"))
     alive = members.where("doc_id = rep").select(F.col("doc_id").alias("d"), "n").distinct().join(private, "d", "left").where(F.coalesce("private", F.lit(0)) <= forgiven).select("d", "n")
     alive = cut(alive, "alive")
+    free(found, classes)
     sets = cut(whole_sets(docs.join(few(alive.select("d").distinct()), F.col("doc_id") == F.col("d"), "left_semi")).distinct(), "sets")
 
     # 3. all shingles of those left are counted; prefixes from rare to common, private ones first
@@ -186,7 +156,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # groups of like size and prefix
     listed = F.sort_array(F.collect_list("t"))
     marks = prefix.groupBy("doc_id", "n", "lone").agg(F.xxhash64(F.lit(1), listed).alias("p"), F.xxhash64(F.lit(2), listed).alias("q"))
-    keyed = cut(marks.withColumn("g", F.min("doc_id").over(Window.partitionBy("n", "lone", "p", "q"))).select("doc_id", "g"), "groups")
+    marks = cut(marks, "marks")
+    like = ["n", "lone", "p", "q"]
+    many = cut(marks.groupBy(*like).agg(F.min("doc_id").alias("g"), F.count("*").alias("c")).where("c > 1").drop("c"), "many")
+    keyed = cut(marks.join(few(many), like, "left").select("doc_id", F.coalesce("g", "doc_id").alias("g")), "groups")
+    free(marks, many)
     posts = cut(prefix.join(keyed.where("doc_id = g").select("g").distinct(), F.col("doc_id") == F.col("g"), "left_semi").select("t", F.col("doc_id").alias("g"), "n", "left").distinct(), "posts")
 
     # 4a. one pivot for each shingle, each group against the pivots that it shares most with
@@ -222,18 +196,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id; of rows with one doc_id the first text stays."""
-    gone = cut(near_duplicates(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = cut(kept.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "again")
+    name, place = unused(docs, "name", "place")
+    gone = cut(near_duplicates(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    kept = docs.join(few(gone), F.col("doc_id") == F.col(name), "left_anti")
+    again = cut(kept.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select(F.col("doc_id").alias(name)), "again")
     if again.isEmpty():
         return kept
-    same = F.col("doc_id") == F.col("_again")
-    return kept.join(again, same, "left_anti").unionByName(_first_text(kept.join(again, same, "left_semi")))
-
-
-def _first_text(docs: DataFrame) -> DataFrame:
-    ranked = docs.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return ranked.where("_at = 1").drop("_at")
+    same = F.col("doc_id") == F.col(name)
+    first = Window.partitionBy("doc_id").orderBy("text")
+    repeated = kept.join(few(again), same, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return kept.join(few(again), same, "left_anti").unionByName(repeated)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

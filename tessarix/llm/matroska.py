@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, schema_of, slices, table
+from .common import in_batches, plus, schema_of, slices, table
 
 # Element ids of the format: fixed values.
 EBML, SEGMENT, INFO, TRACKS, ENTRY, AUDIO, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0x1C53BB6B
@@ -189,7 +189,7 @@ def store(df: DataFrame, text: str = "text", keep: list[str] = ["doc_id"]) -> Da
             media = [mux(r + bytes(-len(r) % 64 or 64 * (not r))) for r in raw]
             yield plus(batch, keep, n_bytes=pa.array(map(len, raw), pa.int64()), media=pa.array(media, pa.binary()))
 
-    return df.select(*keep, *[text][: text not in keep]).mapInArrow(run, schema_of(df, keep, "n_bytes long, media binary"))
+    return in_batches(df.select(*keep, *[text][: text not in keep]), run, schema_of(df, keep, "n_bytes long, media binary"))
 
 
 def packets(df: DataFrame, media: str = "media", keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
@@ -201,7 +201,7 @@ def packets(df: DataFrame, media: str = "media", keep: list[str] = ["doc_id"]) -
             parsed = [demux(m) if m is not None else ([], []) for m in batch.column(media).to_pylist()]
             yield plus(batch, keep, packets=_structs([p for p, _ in parsed], names, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())), cues=_structs([c for _, c in parsed], ("time", "track", "position"), (pa.int64(), pa.int32(), pa.int64())))
 
-    return df.select(*keep, *[media][: media not in keep]).mapInArrow(run, schema_of(df, keep, PACKETS))
+    return in_batches(df.select(*keep, *[media][: media not in keep]), run, schema_of(df, keep, PACKETS))
 
 
 def _structs(rows: list[list[tuple]], names: tuple, kinds: tuple) -> pa.ListArray:
@@ -228,7 +228,7 @@ def read_track(df: DataFrame, track: int = 1, keep: list[str] = ["doc_id"]) -> D
                 features.append(f"packets={len(own)};clusters={len(np.unique(clusters[own]))};laced={int((laces[own] > 0).sum())};last_ms={int(times[own].max()) if len(own) else 0};mean={x.mean() if len(x) else 0:.4f};crossings={int((np.diff((x >= 128).astype(np.int8)) != 0).sum())};range={int(x.min()) if len(x) else 0}-{int(x.max()) if len(x) else 0}")
             yield plus(batch, keep, payload=pa.array(out, pa.binary()), feature=pa.array(features, pa.string()))
 
-    return df.select(*keep, "media", "packets").mapInArrow(run, schema_of(df, keep, "payload binary, feature string"))
+    return in_batches(df.select(*keep, "media", "packets"), run, schema_of(df, keep, "payload binary, feature string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, in_batches, slices, table
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _LEAD = re.compile(r"(?i)^\s*(?:on\b.*\bwrote|.*\bschrieb|.*\ba écrit|.*\bescribió)\s*:\s*$")
@@ -66,7 +66,7 @@ def parsed(messages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "place")), pa.array(own, pa.string()), pa.array(said, pa.list_(pa.int64())), pa.array(quoted, pa.list_(pa.struct({"level": pa.int32(), "hash": pa.int64()})))], names=["conv_id", "turn", "role", "place", "text", "said", "quoted"])
 
     kind = messages.schema["turn"].dataType.simpleString()
-    return messages.mapInArrow(run, f"conv_id long, turn {kind}, role string, place int, text string, said array<long>, quoted array<struct<level:int,hash:bigint>>")
+    return in_batches(messages, run, f"conv_id long, turn {kind}, role string, place int, text string, said array<long>, quoted array<struct<level:int,hash:bigint>>")
 
 
 def conversations(messages: DataFrame) -> DataFrame:

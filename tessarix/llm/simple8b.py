@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import WordCoder, held
-from .common import shared_dir, slices, table
+from .common import in_batches, shared_dir, slices, table
 
 #: (ids, bits of each) by selector; a fixed value of the format.
 SELECTORS = [(240, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -137,7 +137,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID,
 
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("shard", F.spark_partition_id())
-    ordered.mapInArrow(run, "shard int, block long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary").write.parquet(path)
+    in_batches(ordered, run, "shard int, block long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +166,7 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                     }
                 )
 
-    documents = blocks.select("shard", "block", "doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, shard int, block long, inside long, n_tokens long, ids binary")
+    documents = in_batches(blocks.select("shard", "block", "doc_ids", "lengths", "payload"), run, "doc_id long, shard int, block long, inside long, n_tokens long, ids binary")
     return documents, starts
 
 

@@ -2,163 +2,259 @@
 
 A text is cut after sentence ends and line ends, and sentences of 16 words and more also where their words say so: before
 a pair of words whose hash is the least of the pairs near it. So a passage gets the same cuts inside wherever it stands.
-In scripts without spaces each character is a word. Every run of sentences that is as short as can be with two sentences
-and 20 words - from each sentence on, and up to each sentence - is a span; its normalised words are hashed. Spans meet by hash over the whole corpus; the first place of a span, by doc_id and then
-position, stays, and sentences covered by any other place of it go.
+In scripts without spaces each character is a word. A run of consecutive sentences with two sentences and 20 words at
+least is hashed by its words; of those from one sentence on, and of those up to one, the shortest is enough, as the
+sentences of any longer repeated run are covered by such runs inside it. Runs meet by hash over the whole corpus; the
+first place of a run, by doc_id and then position, stays, and sentences covered by any other place of it go.
 
-Defined results: a null text stays null, an empty one empty; a text without repeated spans comes back byte for byte;
+Runs are written once. Only hash and count are shuffled to find the repeated hashes; rows of these alone go on, first
+places are aggregated map-side, so a span that a third of all documents share is one row a task there, and the joins
+read tables, so Spark may broadcast the small side or split a frequent hash.
+
+Defined results: a null text stays null, an empty one empty; a text without repeated runs comes back byte for byte;
 rows that share a doc_id are told apart by their text, rows equal in both are one document and keep what it keeps; rows
-with null doc_id come first in order; an empty table gives an empty result. All further columns are carried along unchanged.
+with null doc_id come first in order; an empty table gives an empty result. All further columns are carried along
+unchanged, but for a column n_removed, which is replaced. Two different runs get one hash with a chance of 2^-64.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import cut, few, free, in_batches, joined, mixed, slices, table, unused, word_hashes
 
 LEAST_SENTENCES, LEAST_WORDS, LONGEST = 2, 20, 16
 #: A cut stands before the least of the pairs of words this far to either side.
 NEAR = 3
+#: Removed ranges are sent to all executors up to so many numbers, 4 bytes each.
+MOST_SENT = 4_000_000
 #: Stops that need white space behind them, stops that don't, and what may close a sentence behind these.
 _STOP, _WIDE, _CLOSE = ".!?…؟۔।॥።", "。！？｡", "」』）”’"
 #: Up to a stop, a line end, or the end of the text; a stop inside a word ends nothing.
 _SENTENCE = re.compile(rf"[^\n{_STOP}{_WIDE}]*(?:[{_STOP}]+(?!\s|[{_STOP}{_WIDE}])[^\n{_STOP}{_WIDE}]*)*(?:[{_STOP}]*[{_WIDE}][{_STOP}{_WIDE}{_CLOSE}]*\s*|[{_STOP}]+\s+|\n\s*|[{_STOP}]*$)")
 #: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han.
-_UNSPACED = "฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
-_BARE = re.compile(f"[{_UNSPACED}]")
-_SPACED_WORD = re.compile(r"\S+\s*")
+_UNSPACED = "฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
 _WORD = re.compile(rf"(?:[{_UNSPACED}]|[^\s{_UNSPACED}]+)\s*")
+#: Texts with none of these need ASCII alone to find words and sentences.
+_SPECIAL = re.compile(rf"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000{_STOP[3:]}{_WIDE}{_UNSPACED}]")
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?")] = True
+_U = np.uint64
+_FIRST, _SECOND, _COUNT = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5)
+#: The odd base of the hashes of sentences and runs, and its inverse modulo 2^64.
+_STEP = 0x9FB21C651E98DF25
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[_U(1)], np.full(n, base, dtype=np.uint64)]))
+
+
+def _plain_words(texts: pa.Array) -> tuple:
+    """(text, begin in it, hash, starts a sentence) of each word, and whether an empty sentence leads each text."""
+    data, starts = joined(texts)
+    begin, end, hashes = word_hashes(data)
+    doc = np.searchsorted(starts, begin, side="right") - 1
+    lines = np.flatnonzero(data == 10)
+    new = np.diff(doc, prepend=-1) != 0
+    behind = np.concatenate([[0], end[:-1]])  # where the gap before each word begins
+    behind[new] = starts[doc[new]]
+    line = np.searchsorted(lines, begin) > np.searchsorted(lines, behind)
+    lead = np.zeros(len(texts), bool)
+    lead[doc[new & line]] = True
+    stopped = np.concatenate([[False], _ENDS[data[end[:-1] - 1]]])
+    return doc, begin - starts[doc], hashes, new | line | stopped, lead
+
+
+def _other_words(texts: list[str]) -> tuple:
+    """The same of texts with any characters."""
+    doc, begin, words, first, lead = [], [], [], [], np.zeros(len(texts), bool)
+    for d, text in enumerate(texts):
+        at = 0
+        for n, piece in enumerate(filter(None, _SENTENCE.findall(text))):
+            here = at + len(piece[: len(piece) - len(piece.lstrip())].encode())
+            found = _WORD.findall(piece)
+            lead[d] |= not n and not found
+            for k, w in enumerate(found):
+                doc.append(d)
+                begin.append(here)
+                words.append(w.rstrip())
+                first.append(not k)
+                here += len(w.encode())
+            at += len(piece.encode())
+    hashes = word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8))[2]
+    return np.array(doc, np.int64), np.array(begin, np.int64), hashes, np.array(first, bool), lead
+
+
+def _content_cuts(hashes: np.ndarray, sentence: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a cut stands before each word: its pair with the next is the least near it; ties are cut all."""
+    worst = _U((1 << 64) - 1)
+    mark = np.full(len(hashes), worst)
+    mark[:-1] = mixed(hashes[:-1] * _FIRST + hashes[1:] * _SECOND) >> _U(1)
+    mark[(place == 0) | (place == length - 1)] = worst
+    least = mark.copy()
+    for k in range(1, NEAR + 1):
+        same = sentence[k:] == sentence[:-k]
+        np.minimum(least[k:], np.where(same, mark[:-k], worst), out=least[k:])
+        np.minimum(least[:-k], np.where(same, mark[k:], worst), out=least[:-k])
+    return (mark == least) & (mark < worst)
+
+
+def segmented(texts: pa.Array, plain: bool = True) -> tuple:
+    """(text, number in it, begin in its bytes, words, hash) of each sentence; a sentence ends where the next begins."""
+    known = texts.to_pylist() if len(texts) else []
+    special = np.array([not plain or t is not None and bool(_SPECIAL.search(t)) for t in known], bool)
+    which = [np.flatnonzero(~special), np.flatnonzero(special)]
+    parts = [_plain_words(texts.filter(pa.array(~special))) if len(known) else None, _other_words([known[i] or "" for i in which[1]]) if special.any() else None]
+    lead = np.zeros(len(known), bool)
+    for w, p in zip(which, parts, strict=True):
+        if p:
+            lead[w] = p[4]
+    doc, begin, hashes, first = (np.concatenate([w[p[0]] if not k else p[k] for w, p in zip(which, parts, strict=True) if p] or [np.empty(0, np.int64)]) for k in range(4))
+    if not len(doc):
+        return doc, doc, begin, doc, hashes
+    at = np.flatnonzero(first)
+    sentence = np.cumsum(first) - 1
+    length = np.diff(np.append(at, len(first)))[sentence]
+    long = np.flatnonzero(length >= LONGEST)
+    if len(long):
+        first = first.astype(bool)
+        first[long] |= _content_cuts(hashes[long], sentence[long], (long - at[sentence[long]]), length[long])
+        at = np.flatnonzero(first)
+    words = np.diff(np.append(at, len(doc)))
+    step = _powers(_STEP, int(words.max()))
+    marks = mixed(np.add.reduceat(hashes * step[np.arange(len(doc)) - np.repeat(at, words)], at) + words.astype(np.uint64) * _COUNT)
+    doc, begin = doc[at], begin[at]
+    new = np.flatnonzero(np.diff(doc, prepend=-1))
+    number = np.arange(len(doc)) - np.repeat(new, np.diff(np.append(new, len(doc)))) + lead[doc]
+    begin[number == 0] = 0
+    return doc, number, begin, words, marks
 
 
-def split(text: str) -> list[str]:
-    """The words of a text, without white space."""
-    return [w.rstrip() for w in _WORD.findall(text)] if _BARE.search(text) else text.split()
-
-
-def cuts(words: list[str]) -> list[int]:
-    """Where a long sentence is cut, by the words near each place alone: before the least pair, ties included."""
-    plain = [w.rstrip().encode().lower() for w in words]
-    marks = [zlib.crc32(b, zlib.crc32(a)) for a, b in zip(plain, plain[1:], strict=False)]
-    return [i for i in range(1, len(marks)) if marks[i] == min(marks[max(1, i - NEAR) : i + NEAR + 1])]
-
-
-def sentences(text: str, longest: int = LONGEST) -> list[str]:
-    """The sentences of a text with the white space behind them: joined they are the text."""
-    out: list[str] = []
-    word = _WORD if _BARE.search(text) else _SPACED_WORD
-    for piece in filter(None, _SENTENCE.findall(text)):
-        words = word.findall(piece)
-        if len(words) >= longest:
-            at = [0, *cuts(words), len(words)]
-            words[0] = piece[: len(piece) - len(piece.lstrip())] + words[0]
-            out += ["".join(words[i:j]) for i, j in zip(at, at[1:], strict=False)]
-        else:
-            out.append(piece)
-    return out
-
-
-def runs(counts: list[int], least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """(first, behind last) of the shortest spans from each sentence on and up to each sentence."""
-    ends = [0]
-    for c in counts:
-        ends.append(ends[-1] + c)
-    n, found, j = len(counts), set(), 0
-    for i in range(n):
-        j = max(j, i + least_sentences)
-        while j <= n and ends[j] - ends[i] < least_words:
-            j += 1
-        if j > n:
-            break
-        found.add((i, j))
-    i = n
-    for j in range(n, 0, -1):
-        i = min(i, j - least_sentences)
-        while i >= 0 and ends[j] - ends[i] < least_words:
-            i -= 1
-        if i < 0:
-            break
-        found.add((i, j))
-    return sorted(found)
+def sentences(text: str) -> list[str]:
+    """The sentences of one text with the white space behind them: joined they are the text."""
+    _, number, begin, _, _ = segmented(pa.array([text]))
+    raw, begins = text.encode(), begin.tolist() or [0]
+    if begins[0]:
+        begins = [0, *begins]
+    return [raw[a:b].decode() for a, b in zip(begins, [*begins[1:], len(raw)], strict=True) if b > a]
+
+
+def runs(doc: np.ndarray, words: np.ndarray, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First and behind-last index of the shortest runs from each sentence on and up to each sentence of its text."""
+    n = len(doc)
+    if not n:
+        return doc, doc
+    held = np.concatenate([[0], np.cumsum(words)])
+    new = np.flatnonzero(np.diff(doc, prepend=-1))
+    begin = np.repeat(new, np.diff(np.append(new, n)))
+    end = np.repeat(np.append(new[1:], n), np.diff(np.append(new, n)))
+    i = np.arange(n)
+    j = np.maximum(np.searchsorted(held, held[:-1] + least_words), i + least_sentences)
+    fits = j <= end
+    behind = i + 1
+    start = np.minimum(np.searchsorted(held, held[1:] - least_words, side="right") - 1, behind - least_sentences)
+    also = start >= begin
+    pairs = np.unique(np.concatenate([i[fits] * (n + 1) + j[fits], start[also] * (n + 1) + behind[also]]))
+    return pairs // (n + 1), pairs % (n + 1)
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """hash, doc_id, row, first, behind, more of the spans; row tells rows with one doc_id apart.
+    """hash, doc_id, row, first, behind, more of the runs; row tells rows with one doc_id apart.
 
-    A document gives a hash two rows at most, however often it repeats the span: its first place, and its second place
-    with all further ones in ``more`` (first and behind in turn). Only the first place can be the one that stays.
+    A document gives a hash one row, however often it repeats the run: its first place, and all further ones in ``more``
+    (first and behind in turn). Only the first place can be the one that stays.
     """
 
     def run(batches):
-        for batch in slices(batches, "text"):
-            out = [[], [], [], [], [], []]
-            for name, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                # lower() of bytes touches A-Z alone; a run's hash is that of its sentences' hashes
-                words = [split(s) for s in sentences((text or "").encode().lower().decode())]
-                marks = [xxhash.xxh3_128_digest(" ".join(w).encode()) if w else b"" for w in words]
-                known, before = {}, len(out[0])
-                for i, j in runs(list(map(len, words))):
-                    mark = xxhash.xxh3_64_intdigest(b"".join(marks[i:j])) - (1 << 63)
-                    further = known.get(mark)
-                    if further is None:
-                        known[mark] = []
-                    else:
-                        further += (i, j)
-                        if len(further) > 2:
-                            continue
-                    out[0].append(mark)
-                    out[3].append(i)
-                    out[4].append(j)
-                    out[5].append(further)
-                out[1] += [name] * (len(out[0]) - before)
-                out[2] += [row] * (len(out[0]) - before)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["hash", "doc_id", "row", "first", "behind", "more"])
-
-    return docs.mapInArrow(run, "hash long, doc_id long, row long, first int, behind int, more array<int>")
+        for batch in slices(batches, "text", 1 << 20):
+            doc, number, _, words, marks = segmented(batch.column("text"))
+            i, j = runs(doc, words)
+            total = np.concatenate([[_U(0)], np.cumsum(marks * _powers(_STEP, len(marks))[:-1])]) if len(marks) else np.zeros(1, _U)
+            span = mixed((total[j] - total[i]) * _powers(_BACK, len(marks))[i] + (j - i).astype(np.uint64)).view(np.int64)
+            of, first = doc[i], number[i]
+            order = np.lexsort((span, of))
+            of, span, first, behind = of[order], span[order], first[order], (first + j - i)[order]
+            again = np.zeros(len(of), bool)
+            again[1:] = (of[1:] == of[:-1]) & (span[1:] == span[:-1])
+            heads = np.flatnonzero(~again)
+            further = np.diff(np.append(heads, len(of))) - 1
+            more = np.stack([first[again], behind[again]], axis=1).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], 2 * np.cumsum(further)]), pa.int32()), pa.array(more, pa.int32()))
+            of = pa.array(of[heads])
+            yield pa.RecordBatch.from_arrays([pa.array(span[heads]), batch.column("doc_id").take(of), batch.column("row").take(of), pa.array(first[heads], pa.int32()), pa.array(behind[heads], pa.int32()), lists], names=["hash", "doc_id", "row", "first", "behind", "more"])
 
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("row").cast("long"), "text")
+    return in_batches(docs, run, "hash long, doc_id long, row long, first int, behind int, more array<int>")
+
+
+def without(text: bytes, begins: np.ndarray, lost: np.ndarray, leads: bool) -> bytes:
+    """``text`` without the lost sentences; ``leads``: an empty one, without a begin, stands before the others."""
+    if leads:
+        begins, lost = np.concatenate([[0], begins]), np.concatenate([lost[:1] & False, lost])
+    ends = np.append(begins[1:], len(text))
+    return b"".join([text[a:b] for a, b in zip(begins[~lost].tolist(), ends[~lost].tolist(), strict=True)])
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated spans removed from text, and n_removed, the sentences that went."""
-    named = docs.withColumn("_row", F.xxhash64("text"))
-    place = F.struct("doc_id", "row", "first")
-    every = spans(named.select("doc_id", F.col("_row").alias("row"), "text"))
-    repeated = every.groupBy("hash").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("h"), "keep")
-    later = every.join(repeated, F.col("hash") == F.col("h")).where(~place.eqNullSafe(F.col("keep")))
-    gone = later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "behind", "more")).alias("_gone")).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "_gone")
-    joined = named.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_row").eqNullSafe(F.col("_r")), "left").drop("_d", "_r", "_row")
-    schema = joined.drop("_gone")
-    names = docs.columns
+
+def shortened(docs: DataFrame, ranges: str, out: str) -> DataFrame:
+    """``docs`` without the sentences in ``ranges`` (first and behind in turn) and that column; ``out``: how many went."""
+    names = [c for c in docs.columns if c != ranges]
 
     def run(batches):
-        for batch in slices(batches, "text"):
-            texts, removed = [], []
-            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-                if not cuts:
-                    texts.append(text)
-                    removed.append(0)
-                    continue
-                parts = sentences(text or "")
-                drop = np.zeros(len(parts) + 1, dtype=np.int64)
-                for c in cuts:
-                    places = np.array(c["more"] or [c["first"], c["behind"]])
-                    np.add.at(drop, places[::2], 1)
-                    np.add.at(drop, places[1::2], -1)
-                out = np.cumsum(drop[:-1]) > 0
-                texts.append("".join(p for p, o in zip(parts, out.tolist(), strict=True) if not o))
-                removed.append(int(out.sum()))
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], names=[*names, "n_removed"])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
-    return joined.mapInArrow(run, f"{ddl}, n_removed int")
+        for batch in slices(batches, "text", 1 << 20):
+            texts = batch.column("text")
+            touched = np.flatnonzero(pc.fill_null(pc.greater(pc.list_value_length(batch.column(ranges)), 0), False).to_numpy(zero_copy_only=False))
+            known, removed = texts.to_pylist(), np.zeros(len(texts), np.int64)
+            doc, number, begin, _, _ = segmented(texts.take(pa.array(touched)))
+            order = np.argsort(doc, kind="stable")
+            number, begin = number[order], begin[order]
+            bounds = np.searchsorted(doc[order], np.arange(len(touched) + 1))
+            for k, d in enumerate(touched.tolist()):
+                own = slice(bounds[k], bounds[k + 1])
+                places = np.array(batch.column(ranges)[d].as_py())
+                numbers, begins = number[own], begin[own]
+                drop = np.zeros(int(numbers[-1]) + 2, dtype=np.int64)
+                np.add.at(drop, places[::2], 1)
+                np.add.at(drop, places[1::2], -1)
+                lost = np.cumsum(drop)[numbers] > 0
+                known[d] = without(known[d].encode(), begins, lost, bool(numbers[0])).decode()
+                removed[d] = lost.sum()
+            columns = [pa.array(known, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], names=[*names, out])
+
+    ddl = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return in_batches(docs, run, f"{ddl}, `{out}` int")
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated runs removed from text, and n_removed, the sentences that went."""
+    docs = docs.drop("n_removed")
+    row, name, mark, ranges = unused(docs, "row", "name", "mark", "ranges")
+    named = docs.withColumn(row, F.xxhash64("text"))
+    every = cut(spans(named.select("doc_id", F.col(row).alias("row"), "text")), "runs")
+    repeated = cut(every.groupBy("hash").agg(F.count("*").alias("n"), F.max(F.size("more")).alias("m")).where("n > 1 or m > 0").select(F.col("hash").alias("h")), "repeated")
+    hits = cut(every.join(few(repeated), F.col("hash") == F.col("h")).drop("h"), "hits")
+    free(every, repeated)
+    place = F.struct("doc_id", "row")
+    firsts = cut(hits.groupBy("hash").agg(F.min(place).alias("keep")).select(F.col("hash").alias("h"), "keep"), "firsts")
+    later = hits.join(few(firsts), F.col("hash") == F.col("h"))
+    later = later.withColumn("gone", F.when(place.eqNullSafe(F.col("keep")), F.col("more")).otherwise(F.concat(F.array("first", "behind"), "more"))).where(F.size("gone") > 0)
+    gone = cut(later.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("gone")).alias(ranges)).select(F.col("doc_id").alias(name), F.col("row").alias(mark), ranges), "gone")
+    free(hits, firsts)
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(row) == F.col(mark))
+    held = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(ranges)), F.lit(0))).first()
+    if 12 * held[0] + held[1] > MOST_SENT:
+        return shortened(named.join(gone, same, "left").drop(row, name, mark), ranges, "n_removed")
+    touched = shortened(named.join(F.broadcast(gone), same).drop(row, name, mark), ranges, "n_removed")
+    whole = named.join(F.broadcast(gone.select(name, mark)), same, "left_anti").drop(row)
+    return whole.withColumn("n_removed", F.lit(0)).unionByName(touched)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

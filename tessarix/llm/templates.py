@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import plus, schema_of, slices, table
+from .common import in_batches, plus, schema_of, slices, table
 
 #: Phrases and their labels: fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -151,7 +151,7 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str,
             yield plus(batch, keep, **{k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()})
 
     more = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,start:bigint,words:bigint>>"
-    return df.select(*keep, *[text][: text not in keep]).mapInArrow(run, schema_of(df, keep, more))
+    return in_batches(df.select(*keep, *[text][: text not in keep]), run, schema_of(df, keep, more))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessarix.llm import bpe, hilbert, jaccard, matroska, quotes, simple8b, spans, templates
+from tessarix.llm import bpe, common, hilbert, jaccard, matroska, quotes, simple8b, spans, templates
 
 BYTES = bpe.ByteLevelCoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 WORDS = bpe.WordCoder(P.path("word_bpe_49k.json"))
@@ -108,18 +108,85 @@ def test_shingles(texts):
         w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
-    fast, want = jaccard.shingle_sets([t.encode() for t in texts]), [slow(t) for t in texts]
+    fast, want = jaccard.shingle_sets(pa.array(texts, pa.string())), [slow(t) for t in texts]
     assert [len(f) for f in fast] == [len(w) for w in want]
     for i in range(len(texts)):
         for j in range(i):
             assert len(np.intersect1d(fast[i], fast[j])) == len(want[i] & want[j])
 
 
+def pairs_of(counts, doc=None):
+    i, j = spans.runs(np.array(doc or [0] * len(counts)), np.array(counts, np.int64))
+    return list(zip(i.tolist(), j.tolist(), strict=True))
+
+
 def test_sentences_and_runs():
     for t in ("", "a.b c. D e!  F\n\n g", "...", "x " * 100, "\n a"):
         assert "".join(spans.sentences(t)) == t
-    assert spans.runs([10, 10, 10, 10, 5]) == [(0, 2), (1, 3), (2, 4), (2, 5)]
-    assert spans.runs([5, 5]) == [] and spans.runs([]) == []
+    assert pairs_of([10, 10, 10, 10, 5]) == [(0, 2), (1, 3), (2, 4), (2, 5)]
+    assert pairs_of([5, 5]) == [] and pairs_of([]) == [] and pairs_of([20]) == []
+    assert pairs_of([10, 10, 10, 10], [0, 0, 1, 1]) == [(0, 2), (2, 4)]
+
+
+def raw_hash(word):
+    h = sum(int(common._BYTES[b]) * pow(int(common.BASE), k, 1 << 64) for k, b in enumerate(word.lower())) % (1 << 64)
+    return int(common.mixed(np.array([h], np.uint64))[0])
+
+
+def word_hash(word):
+    return raw_hash(word.encode())
+
+
+def slow_sentences(text):
+    """Pieces and words by the rules, one text and one word at a time."""
+    out = []
+    for piece in filter(None, spans._SENTENCE.findall(text)):
+        words = [(w, w.rstrip().lower() if w.isascii() else w.rstrip()) for w in spans._WORD.findall(piece)]
+        if len(words) < spans.LONGEST:
+            out.append((piece, [w for _, w in words]))
+            continue
+        hashes = [word_hash(w.rstrip()) for w, _ in words]
+        marks = [int(common.mixed(np.array([(a * int(spans._FIRST) + b * int(spans._SECOND)) % (1 << 64)], np.uint64))[0]) >> 1 for a, b in zip(hashes, hashes[1:], strict=False)]
+        at = [0, *[i for i in range(1, len(marks)) if marks[i] == min(marks[max(1, i - spans.NEAR) : i + spans.NEAR + 1])], len(words)]
+        lead = piece[: len(piece) - len(piece.lstrip())]
+        out += [(lead * (not i) + "".join(w for w, _ in words[i:j]), [w for _, w in words[i:j]]) for i, j in zip(at, at[1:], strict=False)]
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=" \n\t.!?。！」…é日本ไทยaB\xa0\x1c", max_size=160)), max_size=5))
+def test_sentences_by_the_rules(texts):
+    doc, number, begin, words, marks = spans.segmented(pa.array(texts, pa.string()))
+    for d, text in enumerate(texts):
+        slow = slow_sentences(text or "")
+        raw = (text or "").encode()
+        want = [(k, len(w)) for k, (_, w) in enumerate(slow) if w]
+        assert [(int(a), int(b)) for a, b in zip(number[doc == d], words[doc == d], strict=True)] == want
+        begins = begin[doc == d].tolist()
+        if want:
+            assert [raw[a:b].decode() for a, b in zip(begins, [*begins[1:], len(raw)], strict=True)] == [p for p, w in slow if w]
+        if text:
+            assert "".join(spans.sentences(text)) == text
+    # a text has the same sentences and hashes however they are found
+    ascii_only = pa.array([None if t is None else "".join(c for c in t if c in " \n\t.!?éaB") for t in texts], pa.string())
+    for one, two in zip(spans.segmented(ascii_only), spans.segmented(ascii_only, plain=False), strict=True):
+        assert one.tolist() == two.tolist()
+    for k in range(len(marks)):
+        for m in range(k):
+            mine, other = ([w for _, w in [x for x in slow_sentences(texts[doc[q]] or "")][number[q] : number[q] + 1]][0] for q in (k, m))
+            assert (marks[k] == marks[m]) == (["".join(c.lower() if c.isascii() else c for c in w) for w in mine] == ["".join(c.lower() if c.isascii() else c for c in w) for w in other])
+
+
+def test_word_hashes_over_blocks(monkeypatch):
+    rnd = random.Random(1)
+    for block in (3, 4, 7, 1 << 17):
+        monkeypatch.setattr(common, "_BLOCK", block)
+        for _ in range(100):
+            data = bytes(rnd.choice(b"aAb \nxyz\xc3\xa9") for _ in range(rnd.randrange(40)))
+            begin, end, hashes = common.word_hashes(np.frombuffer(data, np.uint8))
+            want = [m for m in re.finditer(rb"[^ \t-\r]+", data)]
+            assert begin.tolist() == [m.start() for m in want] and end.tolist() == [m.end() for m in want]
+            assert hashes.tolist() == [raw_hash(m[0]) for m in want]
 
 
 def test_templates():
@@ -136,10 +203,10 @@ def test_quote_levels():
 
 
 def caught(a, b):
-    """Words of ``b`` in spans that ``a`` has too."""
+    """Words of ``b`` in runs that ``a`` has too."""
     def places(text):
-        words = [spans.split(p.lower()) for p in spans.sentences(text)]
-        return words, {(i, j): tuple(w for p in words[i:j] for w in p) for i, j in spans.runs(list(map(len, words)))}
+        words = [w for _, w in slow_sentences(text) if w]
+        return words, {(i, j): tuple(w for p in words[i:j] for w in p) for i, j in pairs_of(list(map(len, words)))}
 
     known, (words, found) = set(places(a)[1].values()), places(b)
     return sum(len(words[k]) for k in {k for (i, j), t in found.items() if t in known for k in range(i, j)})
@@ -159,11 +226,3 @@ def test_passages_at_any_offset():
     assert caught("甲乙丙" + han, "子丑" + han + "寅卯") > 30
     assert len(spans.sentences("今日は雨。明日は晴れ！")) == 2
     assert caught("one two " + "same " * 200, "three " + "same " * 300) > 250
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=" \n.!?。！」…日本ไทยaB", max_size=120))
-def test_sentences_join_to_the_text(text):
-    assert "".join(spans.sentences(text)) == text
-    assert "".join(spans.split(text)) == "".join(text.split())
-    assert list(map(len, map(spans.split, spans.sentences(text)))) == list(map(len, map(spans.split, spans.sentences(text.lower()))))
