@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a batch that goes to a Python worker, about; one long text alone may hold more.
@@ -72,6 +72,21 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def ordered(df: DataFrame, *order) -> DataFrame:
+    """``df`` sorted over all its partitions, with ``part`` and ``inside``: where a row stands. To be written by ``cut``."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("inside", F.monotonically_increasing_id())
+    return at.withColumn("part", F.shiftright("inside", 33)).withColumn("inside", F.col("inside").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def numbered(written: DataFrame, name: str) -> DataFrame:
+    """A written table of ``ordered`` with the place of each row from 0 on instead of part and inside."""
+    held = written.groupBy("part").agg((F.max("inside") + 1).alias("held"))  # one row for each partition
+    before = F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = held.select("part", before.alias("before"))
+    return written.join(F.broadcast(offsets), "part").withColumn(name, F.col("before") + F.col("inside")).drop("part", "inside", "before")
+
+
 def ascii_lower(column):
     """Lower-case A-Z only, whatever the locale."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

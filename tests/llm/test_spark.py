@@ -176,13 +176,62 @@ def test_rules_held_out(spark):
     assert scored.count() == docs.count() and rules.classify(docs, labels.limit(0)).select("score").distinct().collect()[0][0] == 0.5
 
 
+def slow_conversations(rows):
+    """Rows (conv, turn, role, text) with distinct texts in a conversation, one conversation after the other."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        parts = [quotes.levels(t or "") for *_, t in own]
+        said = [{h for level, p in x if not level for h in quotes.hashes(p)} for x in parts]
+        parent, linked = [], []
+        for i, x in enumerate(parts):
+            found = [(level, -j) for level, p in x if level for h in quotes.hashes(p) for j in [min((j for j in range(len(own)) if h in said[j]), default=len(own))] if j < i]
+            linked.append(len(found))
+            parent.append(-min(found)[1] if found else None)
+        order = []
+
+        def visit(i, depth, root):
+            order.append((i, depth, root))
+            for k in range(len(own)):
+                if parent[k] == i:
+                    visit(k, depth + 1, root)
+
+        for i in range(len(own)):
+            if parent[i] is None:
+                visit(i, 0, i)
+        for n, (i, depth, root) in enumerate(order):
+            out[conv, i + 1] = (own[i][1], None if parent[i] is None else own[parent[i]][1], own[root][1], depth, n + 1, linked[i])
+    return out
+
+
 def test_quotes(spark):
+    kind = "conv_id long, turn int, role string, text string"
     rows = [(1, 0, "a", "Is it true? I wonder about it."), (1, 1, "b", "No idea."), (1, 2, "a", "> Is it true? I wonder\n> about it.\nYes it is."), (1, 3, "b", ">> I wonder about it.\n> Yes it is.\nThanks."), (2, 0, "a", None), (None, 1, "a", "x"), (2, 0, "a", None)]
-    got = {(r.conv_id, r.place): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    got = {(r.conv_id, r.place): r for r in quotes.conversations(spark.createDataFrame(rows, kind)).collect()}
     assert len(got) == len(rows)
     assert got[1, 3].parent_turn == 0 and got[1, 3].text == "Yes it is." and got[1, 3].depth == 1
     assert got[1, 4].parent_turn == 2 and got[1, 4].text == "Thanks." and got[1, 4].depth == 2 and got[1, 4].root_turn == 0
-    assert got[1, 2].parent_turn == 0 and got[2, 1].parent_turn is None
+    assert got[1, 2].parent_turn is None and got[1, 2].reply_order == 4 and got[2, 1].parent_turn is None
+    # message 3 answers 1 and message 4 answers 2: threads come whole
+    threads = [(7, 1, "a", "First of all we should meet."), (7, 2, "b", "Second of all we should eat."), (7, 3, "a", "> First of all we should meet.\nWhere?"), (7, 4, "b", "> Second of all we should eat.\nWhat?")]
+    got = {r.turn: r.reply_order for r in quotes.conversations(spark.createDataFrame(threads, kind)).collect()}
+    assert [t for t, _ in sorted(got.items(), key=lambda x: x[1])] == [1, 3, 2, 4]
+    rng = np.random.default_rng(2)
+    many = []
+    for conv in (*range(12), None):
+        said = []
+        for turn in range(int(rng.integers(1, 30))):
+            text = f"Message {turn} of {conv} says its own words. It ends here{turn}."
+            for _ in range(int(rng.integers(0, 3))):
+                if said:
+                    text = "\n".join(">" * int(rng.integers(1, 3)) + " " + line for line in said[int(rng.integers(len(said)))].split("\n")) + "\n" + text
+            said.append(text)
+            many.append((conv, turn, "a", text))
+    many += [(99, t, "a", "Thanks." if t else "Thanks. And one thing more for you.") for t in range(5)]
+    want = slow_conversations(many)
+    got = {(r.conv_id, r.place): (r.turn, r.parent_turn, r.root_turn, r.depth, r.reply_order, r.n_linked) for r in quotes.conversations(spark.createDataFrame(many, kind)).collect()}
+    assert got == want and any(v[4] != k[1] for k, v in want.items()) and max(v[3] for v in want.values()) > 3
+    assert quotes.conversations(spark.createDataFrame([], kind)).count() == 0
 
 
 def test_pipeline(spark):
