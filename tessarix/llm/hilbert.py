@@ -9,8 +9,8 @@ curves tell too little, that choice is one curve as a whole, which is exact. Ran
 size; each query visits the blocks within its window on each curve, and what the blocks find is merged and ranked again
 on the original vectors in double precision.
 
-Of equal vectors only the k + 1 with the smallest ids are candidates: no list can hold more of them, as ties go to the
-smaller id. Queries are all rows asked for. Defined results: vectors that are null, zero, of another length than most,
+Of equal vectors only those with the k + 1 smallest ids are candidates: no list can hold more of them, as ties go to the
+smaller id; the rank is cut before the shuffle too. Queries are all rows asked for. Defined results: vectors that are null, zero, of another length than most,
 or hold null or non-finite numbers take no part; rows that share a vec_id are candidates each, none for its own id;
 fewer than k candidates are all returned by a window that spans them; an empty table gives an empty result.
 """
@@ -118,7 +118,7 @@ def neighbours(vectors: DataFrame, wanted: Column, k: int = 20, curves: int = CU
     sound = usable(vectors)
     same = Window.partitionBy("v").orderBy("vec_id")
     asked = sound.where(wanted).select("vec_id", "v", F.lit(True).alias("query")).distinct()
-    offered = sound.withColumn("at", F.row_number().over(same)).where(F.col("at") <= k + 1).select("vec_id", "v", F.lit(False).alias("query"))
+    offered = sound.withColumn("at", F.dense_rank().over(same)).where(F.col("at") <= k + 1).select("vec_id", "v", F.lit(False).alias("query"))
     rows = cut(asked.unionByName(offered), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     picked = rows.where("not query").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()

@@ -15,15 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, few, table, unused
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A row can be taken this many times at most.
 MOST_EPOCHS = 3
 #: Weights by source in code point order, over again.
 WEIGHTS = (1, 2, 3)
-#: Rows that one sorted bucket should hold.
-BUCKET_ROWS = 50_000
+#: Rows that one sorted bucket should hold, and bits of the keys that cut them.
+BUCKET_ROWS, KEY_BITS = 8_192, 60
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def sizes(docs: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit("mix"), "doc_id", F.length("text"), "source").alias("key"),
+        F.conv(F.substring(F.md5(F.concat_ws("|", "doc_id", F.length("text"), "source").cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
     )
 
 
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     """doc_id, source, size, source_size, target, taken of every row of ``docs``."""
     sized = cut(sizes(docs), "mix")
     bits = max(0, (max(1, sized.count()) // bucket_rows).bit_length())
-    bucketed = sized.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    bucketed = sized.withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("held")).withColumn("offset", F.coalesce(F.sum("held").over(ahead), F.lit(0)))
@@ -80,13 +80,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
 def copies(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it: a row cut by the budget counts when half of it is taken.
 
-    Rows are matched to their mix by doc_id, source and size; of rows equal in all three the mean taken counts.
+    Rows are matched to their mix by doc_id, source and size; of rows equal in all three the mean taken counts. Rows
+    without words are taken never; columns of any name are carried along.
     """
-    own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
+    size, name, source, held, times, again = unused(docs, "size", "name", "origin", "held", "times", "again")
+    own = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
     plan = mix(docs).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_held"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int").alias("_times")).where("_times > 0")
-    kept = own.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_held")))
-    return kept.withColumn("_again", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    plan = plan.select(F.col("doc_id").alias(name), F.col("source").alias(source), F.col("size").alias(held), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int").alias(times)).where(F.col(times) > 0)
+    kept = own.join(few(cut(plan, "plan")), F.col("doc_id").eqNullSafe(F.col(name)) & own["source"].eqNullSafe(F.col(source)) & (F.col(size) == F.col(held)))
+    return kept.withColumn(again, F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

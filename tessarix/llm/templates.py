@@ -24,14 +24,14 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 #: Templates and their labels: fixed values.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license <<opt>> version <<end>> 2 0",
-    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any 0-1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<any 0-1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by <<any 1-12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any 1-12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any 0-1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<any 0-1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<any 0-1>> neither the name of <<any 1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by <<any 1-12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any 1-12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "cc-by-4.0": "<<opt>> is <<end>> licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by 4 0",
     "cc-by-nc-4.0": "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by nc 4 0",
-    "copyright": "copyright <<opt>> c <<end>> <<any 1-8>> all rights reserved",
     "gpl-2.0": "licensed under <<opt>> the terms of <<end>> the gnu general public license <<opt>> as published by the free software foundation <<end>> <<opt>> either <<end>> version 2 <<opt>> of the license <<end>> <<opt>> or at your option any later version <<end>>",
     "gpl-3.0": "licensed under <<opt>> the terms of <<end>> the gnu general public license <<opt>> as published by the free software foundation <<end>> <<opt>> either <<end>> version 3 <<opt>> of the license <<end>> <<opt>> or at your option any later version <<end>>",
     "mit-notice": "released under the <<any 0-2>> mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<any 1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
 }
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -44,6 +44,7 @@ class Automaton:
     any: list[list[int]] = field(default_factory=lambda: [[]])
     free: list[list[int]] = field(default_factory=lambda: [[]])
     anchor: bytes = b""
+    leads: list[list[bytes]] = field(default_factory=lambda: [[]])
 
     def state(self) -> int:
         for steps in (self.words, self.any, self.free):
@@ -59,6 +60,10 @@ class Automaton:
                     todo.append(x)
         return seen
 
+    def lead(self, words: list[bytes], start: int) -> int:
+        """How many words before ``start`` are optional wording of the template's begin, at most."""
+        return max(len(x) for x in self.leads if words[max(0, start - len(x)) : start] == x)
+
     def accept(self, words: list[bytes], start: int) -> int:
         """How many words from ``start`` on the longest accepted run has; 0 if none is accepted."""
         now, best, last = self.reach({0}), 0, len(self.words) - 1
@@ -72,11 +77,13 @@ class Automaton:
 
 
 def compile_template(markup: str) -> Automaton:
-    """The automaton of a template. Optional regions at its start don't change what is accepted and are left out."""
+    """The automaton of a template. Optional words at its start are kept apart: a text is searched for what is mandatory."""
     parts = re.findall(r"<<[^>]*>>|\S+", markup)
-    while parts and parts[0] == "<<opt>>":
-        parts = parts[parts.index("<<end>>") + 1 :]
     made, at, opened = Automaton(), 0, []
+    while parts and parts[0] == "<<opt>>":
+        behind = parts.index("<<end>>")
+        made.leads += [x + [w.encode() for w in parts[1:behind]] for x in made.leads]
+        parts = parts[behind + 1 :]
     leading = True
     for part in parts:
         if part == "<<opt>>":
@@ -133,7 +140,7 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str,
                 words = (t or "").encode().translate(_WORDS).split()
                 line = b" " + b" ".join(words) + b" "
                 base = [(i, n, label) for p, n, label in plain for i in places(line, p)]
-                more = [(i, n, label) for label, a in automata for i in places(line, a.anchor) if (n := a.accept(words, i))]
+                more = [(i - (k := a.lead(words, i)), n + k, label) for label, a in automata for i in places(line, a.anchor) if (n := a.accept(words, i))]
                 covered, reach = 0, 0
                 for i, n, _ in sorted(base + more):
                     covered += max(0, i + n - max(i, reach))

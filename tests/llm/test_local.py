@@ -77,12 +77,15 @@ def test_matroska(size, seed):
     body = media.index(b"\x18\x53\x80\x67")
     base = matroska._vint(media, body + 4, False)[1]
     assert all(media[base + c[2] : base + c[2] + 4] == b"\x1f\x43\xb6\x75" for c in cues)
+    assert [c[3] for c in cues] == sorted({p[2] for p in packets})
 
 
 def test_lacing_and_broken_media():
     def block(flags, body):
         return matroska._HEAD + matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, matroska.uint(matroska.TIMESTAMP, 7) + matroska.element(matroska.SIMPLE_BLOCK, b"\x81\x00\x01" + flags + body)))
 
+    scaled = matroska._HEAD + matroska.element(matroska.SEGMENT, matroska.element(matroska.INFO, matroska.uint(matroska.SCALE, 5_000_000)) + matroska.element(matroska.CLUSTER, matroska.uint(matroska.TIMESTAMP, 7) + matroska.element(matroska.SIMPLE_BLOCK, b"\x81\x00\x01\x00x")))
+    assert matroska.demux(scaled)[0][0][1] == 40
     xiph = block(b"\x02", b"\x02\xff\x01\x02" + b"a" * 256 + b"bb" + b"ccc")
     assert [(p[1], p[4]) for p in matroska.demux(xiph)[0]] == [(8, 256), (8, 2), (8, 3)]
     ebml = block(b"\x06", b"\x02\x84\xbe" + b"aaaa" + b"bbb" + b"c")
@@ -193,6 +196,14 @@ def test_templates():
     a = templates.compile_template("under the <<opt>> very <<end>> big <<any 0-2>> license")
     for text, n in (("under the big license", 4), ("under the very big x y license", 7), ("under the big x y z license", 0), ("under the very license", 0)):
         assert a.accept(text.encode().split(), 0) == n
+    a = templates.compile_template("<<opt>> is <<end>> <<opt>> hereby <<end>> licensed <<opt>> so <<end>>")
+    for text, at, lead in (("this is hereby licensed so", 3, 2), ("is licensed", 1, 1), ("licensed", 0, 0), ("hereby is licensed", 2, 1)):
+        assert a.accept(text.encode().split(), at) and a.lead(text.encode().split(), at) == lead
+    for label in ("mit-text", "bsd-2-clause", "bsd-3-clause"):
+        wording = templates.TEMPLATES[label]
+        text = re.sub(r"<<any 0-1>>", "1", re.sub(r"<<opt>>.*?<<end>>", "", re.sub(r"<<any 1-12>>", "the authors", wording))).encode().split()
+        assert [k for k, t in templates.TEMPLATES.items() if templates.compile_template(t).accept(text, 0) == len(text)] == [label]
+        assert not templates.compile_template(wording).accept(text[:100] + [b"not"] + text[100:], 0)
     assert templates.places(b" mit license mit license ", b" mit license ") == [0, 2]
 
 

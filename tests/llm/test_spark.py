@@ -1,16 +1,20 @@
 """The operators on small tables with nulls, empty and repeated rows, ties and clashing names, against brute force."""
 
+import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_local import pairs_of, slow_sentences
-from tessarix.llm import hilbert, jaccard, matroska, mixing, quotes, rules, simple8b, spans, templates
-from tessarix.llm.common import table
+from tessarix.llm import bpe, bytebpe, hilbert, jaccard, matroska, mixing, quotes, registry, rules, simple8b, spans, sql, templates
+from tessarix.llm.common import cut, table
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row int, n int, size int"
@@ -132,7 +136,6 @@ def test_templates_and_media(spark, odd):
 
 
 def test_simple8b(spark, odd, tmp_path):
-    import public_tokenizers
     from tokenizers import Tokenizer
 
     simple8b.write(odd, public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "ids"), block_ids=100)
@@ -168,6 +171,71 @@ def test_neighbours(spark):
     assert hilbert.neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(sql.ORACLES))
+def test_by_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = con.execute(sql.ORACLES[name])
+    names = [c[0] for c in found.description]
+    assert len(want := found.fetchall()) > 100
+    got = registry.QUERIES[name](spark, SF).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_any_column_names(spark, odd):
+    """Columns of the input named like those that operators use inside are carried along."""
+    names = ["row", "name", "mark", "ranges", "size", "held", "times", "again", "place", "bad", "_row", "_size", "_gone", "origin"]
+    wide = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c), "doc_id").alias(c) for c in names])
+    for made in (spans.dedup(wide).drop("n_removed"), mixing.copies(wide), jaccard.one_of_each(wide), corpus_pipeline.near_duplicates(spark, wide, SF), corpus_pipeline.quality(spark, wide, SF)):
+        assert made.columns == wide.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in made.collect() for c in names)
+
+
+def test_edges(spark, odd):
+    """Nulls, empty texts and empty tables in the operators that work row by row."""
+    none = spark.createDataFrame([(1, None), (2, ""), (None, "a b")], "doc_id long, text string")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = {r.doc_id: r for r in bytebpe.encode(none, ranks, public_tokenizers.PATTERN, back=True).collect()}
+    assert coded[1].ids == coded[2].ids == [] and bytes(coded[1].decoded) == b"" and bytes(coded[None].decoded) == b"a b" and coded[None].ends[-1] == 3
+    lists = spark.createDataFrame([(1, None), (2, []), (3, coded[None].ids)], "doc_id long, ids array<int>")
+    assert {r.doc_id: bytes(r.decoded) for r in bytebpe.decode(lists, ranks, public_tokenizers.PATTERN).collect()} == {1: b"", 2: b"", 3: b"a b"}
+    empty = {r.doc_id: r for r in bytebpe.round_trip(odd, ranks, public_tokenizers.PATTERN).collect()}
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(ranks), special_tokens={})
+    for r in odd.select("doc_id", "text").distinct().collect():
+        ids = tik.encode_ordinary(r.text or "")
+        digests = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+        assert tuple(empty[r.doc_id])[1:4] == digests
+    seen = {r.doc_id: r for r in templates.scan(none).collect()}
+    assert seen[1].n_words == seen[2].n_words == 0 and seen[1].first_word is None and seen[None].n_words == 2
+    media = {r.doc_id: r for r in matroska.digests(none).collect()}
+    for key, raw in ((1, b""), (2, b""), (None, b"a b")):
+        padded = raw + bytes(64 - len(raw))
+        assert (media[key].n_bytes, media[key].payload_bytes, media[key].payload_sha256, media[key].tail_crc32) == (len(raw), 64, hashlib.sha256(padded).hexdigest(), zlib.crc32(padded))
+    assert media[1].media_sha256 == media[2].media_sha256 and media[1].feature == media[2].feature
+    labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")
+    scored = rules.classify(none, labels).collect()
+    assert len(scored) == 3 and all(0 <= r.score <= 1 for r in scored)
+    nothing = none.limit(0)
+    for made in (bytebpe.round_trip(nothing, ranks, public_tokenizers.PATTERN), templates.scan(nothing), matroska.digests(nothing), rules.classify(nothing, labels)):
+        assert made.count() == 0
+
+
+def slow_base(text):
+    """n_words, n_base, first, last, labels of op6 by plain search."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    at = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_templates_by_brute_force(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in templates.query(spark, "/root/testdata/sf0.01").collect()}
+    want = {r.doc_id: slow_base(r.text) for r in docs.collect()}
+    assert got == want and any(w[1] for w in want.values())
+
+
 def test_rules_held_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     scored = rules.classify(docs, labels)
@@ -235,11 +303,26 @@ def test_quotes(spark):
 
 
 def test_pipeline(spark):
-    docs = table(spark, SF, "documents")
-    first = dict(corpus_pipeline.STAGES)["quality"](spark, docs, SF)
-    assert first.columns == docs.columns and 0 < first.count() < docs.count()
-    out = corpus_pipeline.run(spark, SF)
-    assert {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns) and out.count()
+    """Each stage on all that the one before kept, held against what its operator or brute force says."""
+    docs, stages = table(spark, SF, "documents"), dict(corpus_pipeline.STAGES)
+    scored = {r.doc_id: r.predicted for r in rules.query(spark, SF).collect()}
+    first = cut(stages["quality"](spark, docs, SF))
+    assert first.columns == docs.columns and {r.doc_id for r in first.collect()} == {i for i, p in scored.items() if p} != set(scored)
+    second = cut(stages["near_duplicates"](spark, first, SF))
+    want = slow_components([(r.doc_id, r.text) for r in first.collect()])
+    assert sorted(r.doc_id for r in second.collect()) == sorted(i for i, (_, root) in want.items() if root == i) and second.columns == docs.columns
+    third = cut(stages["repeated_spans"](spark, second, SF))
+    slow = slow_spans([(r.doc_id, r.text) for r in second.collect()])
+    kept = {i: t for i, (t, n) in slow.items() if not n or t.strip()}
+    assert {r.doc_id: r.text for r in third.collect()} == kept and third.columns == docs.columns
+    assert all(r.n_chars == len(r.text) for r in third.collect() if slow[r.doc_id][1])
+    fourth = cut(stages["mixture"](spark, third, SF))
+    taken = {r.doc_id: int(r.taken / r["size"] + 0.5) if r["size"] else 0 for r in mixing.mix(third).collect()}
+    assert {r.doc_id: r["count"] for r in fourth.groupBy("doc_id").count().collect()} == {i: n for i, n in taken.items() if n} and fourth.columns == docs.columns
+    last = stages["tokens"](spark, fourth, SF).collect()
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    assert sorted((r.doc_id, r.n_tokens) for r in last) == sorted((r.doc_id, len(tik.encode_ordinary(r.text))) for r in fourth.collect())
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, last))
 
 
 def recall(rows, got, asked, k):
