@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 class Spark:
-    """Fragments of Spark SQL. ``tables`` maps a table to the view that holds it."""
+    """Fragments of Spark SQL. ``tables`` maps a table to the text that names it."""
+
+    name = "spark"
 
     def __init__(self, tables=None):
         self.tables = tables or {}
@@ -67,6 +69,10 @@ class Spark:
     def size(self, a):
         return f"cast(size({a}) as bigint)"
 
+    def steps(self, n):
+        """1 to n, none if n is 0."""
+        return f"case when {n} < 1 then array() else sequence(1, {n}) end"
+
     def first(self, a):
         return f"element_at({a}, 1)"
 
@@ -106,15 +112,6 @@ class Spark:
         inner, outer = pads(key)
         return f"sha2(concat(unhex('{outer}'), unhex(sha2(concat(unhex('{inner}'), encode({message}, 'UTF-8')), 256))), 256)"
 
-    def hex_decimal(self, h):
-        """Decimal text of 128 bits in hex, by two limbs of 18 digits over four words of 32 bits."""
-        limb = lambda i: f"cast(conv(substring({h}, {1 + 8 * i}, 8), 16, 10) as decimal(38,0))"
-        base = "cast(1000000000000000000 as decimal(38,0))"
-        two = f"({limb(0)} * 4294967296 + {limb(1)})"
-        # 64 bits each: high * 2^64 + low, with 2^64 = 18 * 10^18 + 446744073709551616
-        low = f"({limb(2)} * 4294967296 + {limb(3)})"
-        return two, low, base
-
 
 def pads(key: bytes) -> tuple[str, str]:
     block = key.ljust(64, b"\0")
@@ -124,6 +121,8 @@ def pads(key: bytes) -> tuple[str, str]:
 class Duck(Spark):
     """The same fragments for the checking engine."""
 
+    name = "duck"
+
     def lit(self, text):
         return "'" + text.replace("'", "''") + "'"
 
@@ -172,6 +171,9 @@ class Duck(Spark):
     def size(self, a):
         return f"cast(len({a}) as bigint)"
 
+    def steps(self, n):
+        return f"range(1, {n} + 1)"
+
     def first(self, a):
         return f"({a})[1]"
 

@@ -30,7 +30,6 @@ STRICT_DOB = r"(?i)\b(?:DATE\s*OF\s*BIRTH|DOB)\s*:\s*(\d{1,4}[-/]\d{1,2}[-/]\d{1
 STRICT_EXAM = r"(?i)\b(?:DATE\s*OF\s*STUDY|EXAM\s*DATE|DATE\s*OF\s*EXAM(?:INATION)?)\s*:\s*(\d{1,4}[-/]\d{1,2}[-/]\d{1,4}|\d{8})"
 SCAN_ACCESSION = r"(?im)^\s*(?:accession(?:\s*(?:number|no\.?|#))?|acc(?:\s*#)?)\s*[:=]\s*([A-Za-z0-9._-]+)"
 SCAN_UID = r"(?im)^\s*Study(?:\s*Instance)?\s*UID\s*[:=]\s*([0-9.]+)"
-SCAN_NAME = r"(?im)^\s*(?:patient\s*name|patient|name)\s*[:=]\s*([^\r\n]+)"
 REDACT = (
     r"(?im)^\s*(?:patient|name|mrn|medical record|accession|dob|date of birth|address|phone|email|physician|referring|dictated by|signed by)\b[^\n]*",
     r"\b\d{1,4}[-/]\d{1,2}[-/]\d{1,4}\b",
@@ -69,7 +68,7 @@ def date(d: Spark, x: str) -> str:
 def surname(d: Spark, x: str) -> str:
     """the family part of a name."""
     head = f"trim({d.first(d.split(f'''coalesce({x}, '')''', '='))})"
-    caret = d.first(f"split({head}, '\\\\^')") if type(d) is Spark else d.first(d.split(head, "^"))
+    caret = d.first(f"split({head}, '\\\\^')") if d.name == "spark" else d.first(d.split(head, "^"))
     return f"case when {head} like '%^%' then trim({caret}) when {head} like '%,%' then trim({d.first(d.split(head, ','))}) when {head} not like '% %' then {head} else '' end"
 
 

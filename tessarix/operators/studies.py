@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from ..functions.dialect import Spark
-from ..plans.fixtures import fx
+from ..plans.fixtures import fingerprint, fx
 
 
 def study_build(d: Spark) -> str:
-    """A study's counts, modalities, first fields, conflicts, fingerprint and subject."""
+    """A study's counts, modalities, first fields, conflicts, fingerprint and subject."""
     differ = lambda x, label: f"case when count(distinct nullif(trim({x}), '')) > 1 then '{label}' end"
     return f"""with {fx(d)}, firsts as (select study_uid as fid, min_by(accession, file_id) as accession, min_by(patient_id, file_id) as patient, min_by(patient_name, file_id) as name, min_by(study_date, file_id) as date from fx_instances group by study_uid),
     grouped as (select study_uid as uid, count(*) as n_instances, sum(size) as bytes, {d.csv('modality')} as modality,
       concat_ws(', ', case when count(distinct concat_ws('|', patient_id, issuer, patient_name)) > 1 then 'patient identity' end, {differ('accession', 'accession')}, {differ('birth_date', 'date of birth')}, {differ('study_date', 'study date')}) as conflicts,
-      {d.sha(d.join(d.sort(d.list("concat_ws('|', file_id, cast(size as string), patient_name)")), ';'))} as fingerprint from fx_instances group by study_uid)
+      {fingerprint(d)} as fingerprint from fx_instances group by study_uid)
     select uid, n_instances, bytes, modality, conflicts, fingerprint, accession, patient, name, date,
       concat('SUBJECT_', substring({d.hmac(b'study-key', "concat('subject', chr(0), 'SYN', chr(0), patient)")}, 1, 20)) as subject from grouped join firsts on uid = fid"""
 
@@ -45,8 +45,11 @@ def coverage(d: Spark) -> str:
 
 def folder_scope(d: Spark) -> str:
     """Of selected folders, those inside another selected one are dropped."""
-    return f"""with {fx(d)}, chosen as (select distinct root as folder from fx_files union all select distinct concat(root, '/', cast(doc_id % 3 as string)) from fx_files union all select '/other/x')
-    select a.folder from chosen a left join chosen b on a.folder like concat(b.folder, '/%') where b.folder is null"""
+    parts = d.split("folder", "/")
+    parents = d.map(d.steps(f"{d.size(parts)} - 1"), f"array_to_string(({parts})[1:x], '/')" if d.name == "duck" else f"array_join(slice({parts}, 1, cast(x as int)), '/')")
+    return f"""with {fx(d)}, chosen as (select distinct root as folder from fx_files union all select distinct concat(root, '/', cast(doc_id % 3 as string)) from fx_files union all select '/other/x'),
+    inside as (select distinct folder as child from (select folder, {d.explode(parents)} as parent from chosen) p where parent in (select folder from chosen))
+    select folder from chosen left join inside on folder = child where child is null"""
 
 
 def matched(d: Spark) -> str:

@@ -20,6 +20,12 @@ def mdy(x: str) -> str:
     return f"concat(substring({y}, 6, 2), '/', substring({y}, 9, 2), '/', substring({y}, 1, 4))"
 
 
+def fingerprint(d: Spark) -> str:
+    """A3: a hash of all that is known of a study's files."""
+    fields = ("file_id", "cast(size as string)", "cast(mtime as string)", "study_uid", "series_uid", "sop_uid", "accession", "patient_id", "issuer", "patient_name", "study_date", "modality", "burned", "birth_date", "region")
+    return d.sha(d.join(d.sort(d.list(f"concat_ws('|', {', '.join(fields)})")), ";"))
+
+
 def fx(d: Spark) -> str:
     """The common table expressions; a query pays for those that it reads."""
     nl = "chr(10)"
@@ -38,7 +44,7 @@ def fx(d: Spark) -> str:
     ]
     text = " ".join(f"when {i} then {x}" for i, x in enumerate(lines))
     return f"""
-fx_patient as (select c_custkey, concat('P', lpad(cast(c_custkey as string), 7, '0')) as patient_id, concat('FAM', {letters('c_custkey % 40', 2)}) as family,
+fx_patient as (select c_custkey, concat('P', lpad(cast(c_custkey as string), 7, '0')) as patient_id, concat('FAM', {letters('cast(floor(c_custkey / 2) as bigint)', 7)}) as family,
   concat('GIV', {letters('c_custkey', 6)}) as given, date '1940-01-01' + cast(c_custkey * 37 % 20000 as int) as dob from {d.t('customer')}),
 fx_order as (select o_orderkey, o_custkey, concat('1.2.840.99.', cast(o_orderkey as string)) as study_uid, concat('A', lpad(cast(o_orderkey as string), 8, '0')) as accession,
   cast(o_orderdate as date) as exam, case o_orderkey % 4 when 0 then 'MR' when 1 then 'CT' when 2 then 'US' else 'DX' end as modality,
@@ -49,13 +55,13 @@ fx_instances as (select concat('/src/img/', cast(o_orderkey as string), '/', cas
   concat(study_uid, '.', cast(l_suppkey as string), '.', cast(l_partkey as string), '.', cast(l_linenumber as string)) as sop_uid, accession, patient_id, 'SYN' as issuer,
   case when o_orderkey % 53 = 0 and l_linenumber % 2 = 0 then 'OTHER^PERSON' else concat(family, '^', given) end as patient_name, {ymd('exam')} as study_date,
   case when l_linenumber = 7 then 'SR' else modality end as modality, case when l_returnflag = 'R' then 'YES' else 'NO' end as burned,
-  case when o_orderkey % 6 = 0 then '' else {ymd('dob')} end as birth_date, cast(floor(l_extendedprice) as bigint) as size, region, l_partkey, l_suppkey
+  case when o_orderkey % 6 = 0 then '' else {ymd('dob')} end as birth_date, cast(floor(l_extendedprice) as bigint) as size, l_partkey * 1000 as mtime, region, l_partkey, l_suppkey
   from {d.t('lineitem')} join fx_order on l_orderkey = o_orderkey),
 fx_reports as (select o_orderkey as report, case when o_orderkey % 10 = 9 then concat('/reports/', accession, '.txt') else concat('/reports/doc', cast(o_orderkey as string), '.txt') end as path,
   case o_orderkey % 10 {text} end as text from fx_order where o_orderkey % 7 <> 0),
 fx_study as (select study_uid as uid, min(o_orderkey) as study, count(*) as n, sum(size) as bytes, {d.csv('modality')} as modality, min(accession) as accession, min(patient_id) as patient,
   min(case when l_linenumber = 1 then patient_name end) as name1, min(patient_name) as name2, min(study_date) as date, min(birth_date) as dob, min(region) as region,
-  {d.sha(d.join(d.sort(d.list("concat_ws('|', file_id, cast(size as string), patient_name, study_date)")), ';'))} as fingerprint,
+  {fingerprint(d)} as fingerprint,
   count(distinct concat_ws('|', patient_id, issuer, patient_name)) > 1 as conflict from fx_instances group by study_uid),
 studies as (select uid, study, n, bytes, modality, accession, patient, coalesce(name1, name2) as name, date, dob, region, fingerprint, conflict from fx_study),
 fx_dump as (select o_orderkey as report_id, o_orderkey as encounter_id, concat('PATIENT NAME: ', family, ', ', given, ' MRN: ', patient_id, ' DATE OF BIRTH: ', {mdy('dob')}, ' FINDINGS: normal') as narrative,
