@@ -119,14 +119,6 @@ def evidence(d: Spark, reports: str) -> str:
       {date(d, d.rx(h, GENERIC_DATE))} as report_date from {reports}"""
 
 
-def redact(d: Spark, text: str) -> str:
-    """F35, patterns alone: header lines and numeric identifiers become one mark; touching marks merge."""
-    out = text
-    for pattern in REDACT:
-        out = d.rep(out, pattern, "[REDACTED]")
-    return out
-
-
 def column(fragment, *columns: str, **more) -> Column:
     """A fragment as a column of the DataFrame API: ``column(name, "patient_name")``."""
     return F.expr(fragment(Spark(), *columns, **more))

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions import text as tx
 from ..functions.dialect import Spark
 from ..plans.fixtures import fx
 
 KEY = b"release-key"
 
 
-def redacted(d: Spark) -> str:
-    """documents with header lines, dates and numbers of identifier shape replaced."""
-    out = tx.redact(d, "coalesce(text, '')")
-    return f"select doc_id, length({out}) as n_after, {d.sha(out)} as text_sha256, {out} like '%[REDACTED]%' as changed from {d.t('documents')}"
-
-
 def pseudonyms(d: Spark) -> str:
     """One token a patient, study and instance, and the map of series and instance UIDs."""
     uid = d.hmac(KEY, "concat('uid', chr(0), u)")
@@ -36,12 +29,4 @@ def cleaned(d: Spark) -> str:
       select keyword, action, count(*) as n, count(distinct new_value) as n_values from ruled group by keyword, action"""
 
 
-def masks(d: Spark) -> str:
-    """Masks by scope as three equi-joins, bounds, coverage, and instances that burned-in text keeps back."""
-    return f"""with {fx(d)}, m as (select distinct study_uid, case o_orderkey % 3 when 0 then 'exam' when 1 then 'series' else 'image' end as scope, series_uid, sop_uid, l_linenumber * 4 as x, l_linenumber * 4 as y, 50 as w, 20 as h from fx_instances where l_linenumber = 1),
-      hit as (select i.sop_uid from fx_instances i join m on m.study_uid = i.study_uid where scope = 'exam' union all select i.sop_uid from fx_instances i join m on m.study_uid = i.study_uid and m.series_uid = i.series_uid where scope = 'series' union all select i.sop_uid from fx_instances i join m on m.sop_uid = i.sop_uid where scope = 'image'),
-      per as (select sop_uid as msop, count(*) as n_masks from hit group by sop_uid)
-      select burned, case when n_masks is null then 'uncovered' else 'covered' end as coverage, burned = 'YES' and n_masks is null as quarantined, count(*) as instances, sum(case when 4 + 50 > 64 * (1 + l_suppkey % 2) then 1 else 0 end) as out_of_bounds from fx_instances left join per on msop = sop_uid group by 1, 2, 3"""
-
-
-QUERIES = {"F35_redaction": redacted, "F42_pseudonyms": pseudonyms, "F41_element_cleanup": cleaned, "J22_mask_targets": masks}
+QUERIES = {"F42_pseudonyms": pseudonyms, "F41_element_cleanup": cleaned}

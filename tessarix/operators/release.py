@@ -8,32 +8,6 @@ from .linkage import suggested
 from .studies import matched
 
 
-def assoc(d: Spark) -> str:
-    approval = d.sha("concat_ws('|', 'clean', 'note', cast(report_id as string), report_hash, fingerprint)")
-    return f"""{fx(d)}, texts as (select report as tid, {d.sha('text')} as text_hash from fx_reports),
-      associations as (select uid, case when study % 29 = 0 then 1 else study end as report_id, case when study % 9 = 0 then 'stale' else fingerprint end as study_fingerprint, case when study % 18 = 0 then 'stale' else coalesce(text_hash, 'none') end as report_hash, fingerprint, conflict, study, n, text_hash from studies left join texts on tid = study where study % 4 <> 0),
-      judged as (select *, case when conflict then 'study conflict' when text_hash is null then 'report missing' when study_fingerprint <> fingerprint then 'study changed' when report_hash <> text_hash then 'report changed' else '' end as reason, {approval} as approval_hash,
-        case when study % 5 = 0 then 'stale' else {approval} end as approved_hash, count(*) over (partition by report_id) as uses from associations)"""
-
-
-def reconciled(d: Spark) -> str:
-    """Associations kept and dropped after a rescan, with the first reason, and the approvals that held before it."""
-    return f"with {assoc(d)} select case when reason = '' then 'kept' else 'dropped' end as outcome, reason, count(*) as studies, sum(case when approved_hash = approval_hash then 1 else 0 end) as approvals_before from judged group by 1, 2"
-
-
-def admissible(d: Spark) -> str:
-    """Reasons against an association, a report used by two studies among them."""
-    why = d.compact("case when uses > 1 then 'report used elsewhere' end", "case when conflict then 'contradiction' end", "case when study % 7 = 0 then 'note too short' end", "case when study_fingerprint <> fingerprint then 'draft outdated' end")
-    return f"with {assoc(d)} select uid, {d.join(why, '; ')} as reasons, {d.size(why)} = 0 as admitted from judged"
-
-
-def exportable(d: Spark) -> str:
-    """The first reason that blocks a study's export; packages and bytes."""
-    return f"""with {assoc(d)}, live as (select study_uid as luid, count(*) as live, sum(size) as bytes, sum(case when burned = 'YES' and l_linenumber > 3 then 1 else 0 end) as open_burned from fx_instances group by study_uid),
-      blocked as (select uid, bytes, case when study % 3 = 0 then 'not approved' when live <> n then 'instances changed' when conflict then 'identity conflict' when approved_hash <> approval_hash then 'approval outdated' when reason <> '' then reason when open_burned > 0 then 'burned-in text' else '' end as blocking from judged join live on luid = uid)
-      select blocking, count(*) as studies, sum(bytes) as bytes from blocked group by blocking"""
-
-
 def manifest(d: Spark) -> str:
     """A manifest against the package read again: files unchanged, changed, missing and unlisted."""
     return f"""with listed as (select concat('SUBJECT/', cast(doc_id as string), '.txt') as lpath, {d.sha("coalesce(text, '')")} as lsum, n_chars as lbytes from {d.t('documents')} where doc_id % 10 <> 9),
@@ -41,12 +15,6 @@ def manifest(d: Spark) -> str:
       select status, count(*) as files, sum(lbytes) as bytes from (select case when tpath is null then 'missing' when lpath is null then 'unlisted' when lsum <> tsum then 'changed' else 'unchanged' end as status, lbytes from listed full outer join there on lpath = tpath) x group by status"""
 
 
-def worklist(d: Spark) -> str:
-    """Studies found by all parts of a name, filtered by modality and dates, newest first."""
-    return f"""with {fx(d)}, hits as (select uid, accession, name, date, modality, n, count(*) over () as total from studies where lower(name) like '%fam%' and lower(name) like '%giv%' and not conflict and n > 0 and concat(',', modality, ',') like '%,MR,%' and date between '19940101' and '19981231')
-      select uid, accession, name, date, modality, n, total from hits order by date desc, uid limit 100"""
-
-
 def queue(d: Spark) -> str:
     """The review queue by best bucket; a study without suggestions is in it too."""
     return f"""{suggested(d)}, best as (select uid as quid, fingerprint as qprint, bucket, points from suggestions where position = 0)
@@ -79,4 +47,4 @@ def detail(d: Spark) -> str:
       select uid, e.report as report, path, reason, strength, row_number() over (partition by uid order by strength, path, e.report) - 1 as position from every e join k on k.report = e.report"""
 
 
-QUERIES = {"V1_reconciled": reconciled, "V2_admissible": admissible, "V5_exportable": exportable, "S14_package_check": manifest, "T1_worklist": worklist, "J15_review_queue": queue, "A29_jobs": jobs, "S15_audit": audit, "J21_header_check": header_check, "J27_study_detail": detail}
+QUERIES = {"S14_package_check": manifest, "J15_review_queue": queue, "A29_jobs": jobs, "S15_audit": audit, "J21_header_check": header_check, "J27_study_detail": detail}

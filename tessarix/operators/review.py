@@ -128,8 +128,9 @@ def valid_drafts(drafts: DataFrame, associations: DataFrame, studies: DataFrame)
 
 def source_hashes(instances: DataFrame) -> DataFrame:
     """M5: uid, source_hashes: file_id to content_hash of the active instances."""
+    each = instances.where("active").groupBy("study_uid", "file_id").agg(F.max("content_hash").alias("content_hash"))
     pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("file_id", "content_hash"))))
-    return instances.where("active").groupBy(F.col("study_uid").alias("uid")).agg(pairs.alias("source_hashes"))
+    return each.groupBy(F.col("study_uid").alias("uid")).agg(pairs.alias("source_hashes"))
 
 
 def approval() -> Column:

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 # The statement's head and the columns that may link tables.
 INSERT = re.compile(r"^\s*INSERT\s+(?:IGNORE\s+)?INTO\s+(?:(?:`[^`]+`|[A-Za-z_]\w*)\s*\.\s*)?(?:`([^`]+)`|([A-Za-z_]\w*))\s+VALUES\s*", re.I)
 LINK = re.compile(r"accession|study.*uid|patient.*id|\bmrn\b|report|file.*path|filename|document", re.I)
+# Escapes of the dump format.
 _ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
-_LITERAL = re.compile(r"""\s*(?:'((?:[^'\\]|\\.|'')*)'|(NULL)\b|(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?))\s*([,)])""", re.S | re.I)
+_LITERAL = re.compile(r"""\s*(?:'((?:[^'\\]|\\.|'')*)'|"((?:[^"\\]|\\.|"")*)"|(NULL)\b|([-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?))\s*([,)])""", re.S | re.I)
 _CREATE = re.compile(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\[]?(?:\w+[`\"\]]?\.[`\"\[]?)?(\w+)[`\"\]]?\s*\(", re.I)
+#: What stands for one character in a text in either kind of quotes.
+_PAIR = {q: re.compile(rf"\\(.)|{q}{q}", re.S) for q in "'\""}
 LONGEST_LINE = 32 << 20
 
 
@@ -35,10 +38,10 @@ def parse_insert(line: str) -> tuple[str | None, list[list[str | None]], str]:
             m = _LITERAL.match(line, at)
             if not m:
                 return table, [], "unsupported value"
-            text = m[1]
-            row.append(None if m[2] else m[3] if text is None else re.sub(r"\\(.)|''", lambda e: "'" if e[1] is None else _ESCAPES.get(e[1], e[1]), text, flags=re.S))
+            text = m[1] if m[1] is not None else m[2]
+            row.append(None if m[3] else m[4] if text is None else re.sub(_PAIR[line[m.start() : m.end()].lstrip()[:1]], lambda e: e[0][0] if e[1] is None else _ESCAPES.get(e[1], e[1]), text))
             at = m.end()
-            if m[4] == ")":
+            if m[5] == ")":
                 break
         rows.append(row)
         rest = re.compile(r"\s*([,;])\s*").match(line, at)
