@@ -51,7 +51,7 @@ fx_order as (select o_orderkey, o_custkey, concat('1.2.840.99.', cast(o_orderkey
   case o_orderkey % 5 when 0 then 'LUMBAR' when 1 then 'CERVICAL' when 2 then 'CHEST' when 3 then 'BRAIN' else 'KNEE' end as region,
   concat(case o_orderkey % 4 when 0 then 'MRI ' when 1 then 'CT ' when 2 then 'ULTRASOUND ' else 'XRAY ' end, case o_orderkey % 5 when 0 then 'LUMBAR' when 1 then 'CERVICAL' when 2 then 'CHEST' when 3 then 'BRAIN' else 'KNEE' end) as title,
   patient_id, family, given, dob from {d.t('orders')} join fx_patient on o_custkey = c_custkey),
-fx_instances as (select concat('/src/img/', cast(o_orderkey as string), '/', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(floor(l_extendedprice) as string), '.dcm') as file_id, o_orderkey, l_linenumber, study_uid, concat(study_uid, '.', cast(l_suppkey as string)) as series_uid,
+fx_instances as (select concat('/src/img/', cast(o_orderkey as string), '/', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(floor(l_extendedprice) as bigint) as string), '.dcm') as file_id, o_orderkey, l_linenumber, study_uid, concat(study_uid, '.', cast(l_suppkey as string)) as series_uid,
   concat(study_uid, '.', cast(l_suppkey as string), '.', cast(l_partkey as string), '.', cast(l_linenumber as string)) as sop_uid, accession, patient_id, 'SYN' as issuer,
   case when o_orderkey % 53 = 0 and l_linenumber % 2 = 0 then 'OTHER^PERSON' else concat(family, '^', given) end as patient_name, {ymd('exam')} as study_date,
   case when l_linenumber = 7 then 'SR' else modality end as modality, case when l_returnflag = 'R' then 'YES' else 'NO' end as burned,
