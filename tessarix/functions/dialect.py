@@ -74,7 +74,7 @@ class Spark:
         return f"case when {n} < 1 then array() else sequence(1, {n}) end"
 
     def first(self, a):
-        return f"element_at({a}, 1)"
+        return f"try_element_at({a}, 1)"
 
     def explode(self, a):
         return f"explode({a})"

@@ -38,9 +38,14 @@ def inventory(d: Spark) -> str:
 
 
 def coverage(d: Spark) -> str:
-    """Files, active files and bytes by root; a root without active rows has nulls, not zeros."""
-    return f"""with {fx(d)}, roots as (select distinct root from fx_files union all select '/src/unused'), active as (select root as r, size, doc_id from fx_files where run = 2)
-    select root, sum(case when doc_id is not null then 1 end) as files, sum(size) as bytes, sum(case when doc_id is null then null when size > 5000 then 1 else 0 end) as large, count(distinct case when size > 0 then concat(r, '|', cast(size as string)) end) as sizes from roots left join active on root = r group by root"""
+    """Active files, images, errors, ignored files, studies and patients by root; a root without active files has null sums and zero counts."""
+    status = "case l_partkey % 50 when 0 then 'error' when 1 then 'ignored' else 'ok' end"
+    image = "kind = 'dicom' and status = 'ok'"
+    return f"""with {fx(d)}, files as (select concat('/src/', lower(modality)) as root, 'dicom' as kind, {status} as status, study_uid, issuer, case when l_suppkey % 9 = 0 then null else patient_id end as patient from fx_instances where not i_closed
+      union all select '/src/reports', 'report', case when text = '' then 'error' else 'ok' end, null, null, null from fx_reports where not r_closed),
+    roots as (select distinct concat('/src/', lower(modality)) as listed from fx_instances union all select '/src/reports' union all select '/src/unused')
+    select listed as root, count(kind) as files, sum(case when kind is null then null when {image} then 1 else 0 end) as images, sum(case when kind is null then null when status = 'error' then 1 else 0 end) as errors, sum(case when kind is null then null when status = 'ignored' then 1 else 0 end) as ignored,
+      count(distinct case when {image} then study_uid end) as studies, count(distinct case when {image} and patient <> '' then concat(issuer, '|', patient) end) as patients from roots left join files on root = listed group by listed"""
 
 
 def folder_scope(d: Spark) -> str:

@@ -50,15 +50,15 @@ fx_order as (select o_orderkey, o_custkey, concat('1.2.840.99.', cast(o_orderkey
   cast(o_orderdate as date) as exam, case o_orderkey % 4 when 0 then 'MR' when 1 then 'CT' when 2 then 'US' else 'DX' end as modality,
   case o_orderkey % 5 when 0 then 'LUMBAR' when 1 then 'CERVICAL' when 2 then 'CHEST' when 3 then 'BRAIN' else 'KNEE' end as region,
   concat(case o_orderkey % 4 when 0 then 'MRI ' when 1 then 'CT ' when 2 then 'ULTRASOUND ' else 'XRAY ' end, case o_orderkey % 5 when 0 then 'LUMBAR' when 1 then 'CERVICAL' when 2 then 'CHEST' when 3 then 'BRAIN' else 'KNEE' end) as title,
-  patient_id, family, given, dob from {d.t('orders')} join fx_patient on o_custkey = c_custkey),
+  patient_id, family, given, dob, o_orderstatus = 'F' as closed from {d.t('orders')} join fx_patient on o_custkey = c_custkey),
 fx_instances as (select concat('/src/img/', cast(o_orderkey as string), '/', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(floor(l_extendedprice) as bigint) as string), '.dcm') as file_id, o_orderkey, l_linenumber, study_uid, concat(study_uid, '.', cast(l_suppkey as string)) as series_uid,
   concat(study_uid, '.', cast(l_suppkey as string), '.', cast(l_partkey as string), '.', cast(l_linenumber as string)) as sop_uid, accession, patient_id, 'SYN' as issuer,
   case when o_orderkey % 53 = 0 and l_linenumber % 2 = 0 then 'OTHER^PERSON' else concat(family, '^', given) end as patient_name, {ymd('exam')} as study_date,
   case when l_linenumber = 7 then 'SR' else modality end as modality, case when l_returnflag = 'R' then 'YES' else 'NO' end as burned,
-  case when o_orderkey % 6 = 0 then '' else {ymd('dob')} end as birth_date, cast(floor(l_extendedprice) as bigint) as size, l_partkey * 1000 as mtime, region, l_partkey, l_suppkey
+  case when o_orderkey % 6 = 0 then '' else {ymd('dob')} end as birth_date, cast(floor(l_extendedprice) as bigint) as size, l_partkey * 1000 as mtime, region, l_partkey, l_suppkey, l_linestatus = 'F' as i_closed
   from {d.t('lineitem')} join fx_order on l_orderkey = o_orderkey),
 fx_reports as (select o_orderkey as report, case when o_orderkey % 10 = 9 then concat('/reports/', accession, '.txt') else concat('/reports/doc', cast(o_orderkey as string), '.txt') end as path,
-  case o_orderkey % 10 {text} end as text from fx_order where o_orderkey % 7 <> 0),
+  case o_orderkey % 10 {text} end as text, closed as r_closed from fx_order where o_orderkey % 7 <> 0),
 fx_study as (select study_uid as uid, min(o_orderkey) as study, count(*) as n, sum(size) as bytes, {d.csv('modality')} as modality, min(accession) as accession, min(patient_id) as patient,
   min(case when l_linenumber = 1 then patient_name end) as name1, min(patient_name) as name2, min(study_date) as date, min(birth_date) as dob, min(region) as region,
   {fingerprint(d)} as fingerprint,

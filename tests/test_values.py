@@ -4,12 +4,14 @@ import hashlib
 import hmac
 from datetime import datetime
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessarix.functions import text as tx
-from tessarix.functions.dialect import Spark
+from tessarix.functions.dialect import Duck, Spark
+from tessarix.operators import linkage
 from tessarix.plans import catalog
 from tessarix.plans.fixtures import TABLES, fx
 from tessarix.sources import dumps, files, reports
@@ -148,6 +150,32 @@ def test_summary_counts_pairs_before_the_limit(spark, tmp_path):
     assert catalog.QUERIES["J4_discovery"](spark, str(tmp_path)).count() == 8 * 5
 
 
+def test_summary_equals_all_pairs(spark):
+    """The counts that form no pairs, against every study judged with every report."""
+    sf, d = "/root/testdata/sf0.001", Duck()
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    judged = f"with {linkage.base(d, linkage.verified(d), linkage.DISCOVERY_STUDIES)}, every as (select uid, report from s cross join e), judged as materialized ({linkage.judged(d, 'every')}), found as ({linkage.discovered(d)})"
+    pairs, studies, conflicting = con.execute(f"{judged} select count(*) filter (where confidence <> 'insufficient'), count(distinct uid) filter (where confidence <> 'insufficient'), count(*) filter (where confidence = 'insufficient' and len(conflicts) > 0) from found").fetchone()
+    row = catalog.QUERIES["A17_discovery_summary"](spark, sf).first()
+    assert (row.pairs, row.with_candidates, row.conflicting_pairs) == (pairs, studies, conflicting)
+    assert row.reports_changed and row.reports_unreadable and row.reports_considered == row.reports_changed + row.reports_unreadable + row.reports_verified
+
+
+def test_historical_counts(spark):
+    """Counts of the index and of the reports against the derived rows themselves."""
+    sf = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linestatus = 'F'").toPandas()
+    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderstatus = 'F' and o_orderkey % 7 <> 0").toPandas().o_orderkey
+    row = catalog.QUERIES["A10_historical_overlap"](spark, sf).first()
+    invalid = items.l_partkey % 211 == 0
+    lost = ~invalid & (items.l_partkey % 199 == 0)
+    assert (row.n_rows, row.invalid_rows, row.rows_without_uid) == (len(items), invalid.sum(), lost.sum())
+    assert row.studies == items[~invalid & ~lost].l_orderkey.nunique() and row.reports_considered == len(orders)
+    assert 0 < row.name_date_modality_pairs <= row.name_and_date_pairs <= row.name_pairs <= row.surname_pairs
+
+
 def test_study_detail_lists_all_candidates(spark):
     """Rows of all of a study's candidates in order, the associated report behind them; approvals are read, not a constant."""
     got = catalog.QUERIES["J27_study_detail"](spark, "/root/testdata/sf0.001").toPandas()
