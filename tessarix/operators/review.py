@@ -258,3 +258,20 @@ def ordered_queue(studies: DataFrame, suggestions: DataFrame) -> DataFrame:
     bucket = F.coalesce("ranking.bucket", F.lit("none"))
     rank = F.when(bucket == "strong", 0).when(bucket == "review", 1).when(bucket == "differences", 2).otherwise(3)
     return joined.select("uid", "date", bucket.alias("bucket"), F.col("ranking.points").alias("points"), rank.alias("rank")).orderBy("rank", F.desc("date"), "uid")
+
+
+def identifiers(instances: DataFrame) -> DataFrame:
+    """All that redaction must find of a study: six fields of its active instances, whole and in parts; (uid, identifiers).
+
+    Null fields and parts of one letter give nothing; a study without any isn't returned.
+    """
+    fields = F.array("patient_id", "patient_name", "accession", "study_uid", "series_uid", "sop_uid")
+    values = instances.where("active").select(F.col("study_uid").alias("uid"), F.explode(fields).alias("value")).where("value is not null").distinct()
+    parts = values.select("uid", F.explode(F.concat(F.array("value"), F.split("value", r"[\^=]"))).alias("part")).where(F.length("part") >= 2)
+    return parts.groupBy("uid").agg(F.array_sort(F.collect_set("part")).alias("identifiers"))
+
+
+def first_instances(instances: DataFrame, n: int = 8) -> DataFrame:
+    """The first ``n`` active instances of each study by file; (uid, file_id, position)."""
+    place = F.row_number().over(Window.partitionBy("study_uid").orderBy("file_id"))
+    return instances.where("active").select(F.col("study_uid").alias("uid"), "file_id", place.alias("position")).where(F.col("position") <= n)

@@ -75,6 +75,11 @@ def states(d: Spark) -> str:
     select state, count(*) as studies, sum(n) as candidates from (select case when conflict then 'conflict' when hits = 1 and n_exact > 0 then 'candidate' when hits > 0 then 'ambiguous' else 'unmatched' end as state, hits as n from studies left join per on uid = cuid) t group by state"""
 
 
+def reasons(d: Spark) -> str:
+    """The distinct reasons of each candidate, identifiers before surnames."""
+    return f"with {matched(d)} select uid, report, reason, priority from candidates"
+
+
 def _scan(d, which):
     from ..functions.text import SCAN_ACCESSION, SCAN_UID
 
@@ -101,4 +106,5 @@ QUERIES = {
     "A6_source_coverage": coverage,
     "S2_folder_scope": folder_scope,
     "E12_study_states": states,
+    "A8_reasons": reasons,
 }

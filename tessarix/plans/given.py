@@ -303,6 +303,25 @@ CHECKED = """with p as (select study_uid as uid, count(*) as instances, count(di
   count(*) filter (where l_partkey % 5 in (1, 2)) as compressed, count(*) filter (where l_partkey % 5 = 4 and o_orderkey % 7 = 0) as unsupported, cast(0 as bigint) as missing_tags from g_instances where active group by study_uid)
 select *, unsupported = 0 and instances = sops as ready from p"""
 
+
+def identified(spark, sf_dir):
+    """The identifiers of each study that redaction looks for."""
+    return review.identifiers(Given(spark, sf_dir).instances()).select("uid", F.size("identifiers").cast("long").alias("n"), F.array_join("identifiers", ";").alias("identifiers"))
+
+
+IDENTIFIED = """select study_uid as uid, count(distinct p) as n, array_to_string(list_sort(list(distinct p)), ';') as identifiers from (select study_uid, unnest(list_concat([v], string_split(replace(v, '=', '^'), '^'))) as p
+  from (select study_uid, unnest([patient_id, patient_name, accession, study_uid, series_uid, sop_uid]) as v from g_instances where active) x) y where length(p) >= 2 group by study_uid"""
+
+
+def first_eight(spark, sf_dir):
+    """The first eight instances of each study."""
+    return review.first_instances(Given(spark, sf_dir).instances(), 8)
+
+
+FIRST_EIGHT = """select study_uid as uid, file_id, 1 + (select count(*) from g_instances b where b.study_uid = a.study_uid and b.active and b.file_id < a.file_id) as position from g_instances a
+  where active and (select count(*) from g_instances b where b.study_uid = a.study_uid and b.active and b.file_id < a.file_id) < 8"""
+
+
 def redaction(spark, sf_dir):
     """Documents with header lines, dates and numbers of identifier shape replaced, spans merged."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.array().cast("array<string>").alias("identifiers"))
@@ -321,7 +340,7 @@ QUERIES = {
     "F35_redaction": (redaction, _redaction_sql()), "S7_headers": (headers, HEADERS), "A7_descriptions": (described, DESCRIBED), "P1_open_studies": (open_studies, OPEN), "V1_reconciled": (reconciled, RECONCILED), "V6_rescanned": (rescanned, RESCANNED),
     "V2_admissible": (admissible, ADMISSIBLE), "V5_exportable": (exportable, EXPORTABLE), "V7_batches": (batches, BATCHES), "F37_mask_documents": (mask_documents, MASK_DOCUMENTS), "J22_mask_targets": (mask_targets, MASK_TARGETS),
     "J9_narratives": (narrative_index, NARRATIVE_INDEX), "A23_narrative_totals": (narrative_totals, NARRATIVE_TOTALS), "P13_report_browse": (browsed, BROWSED), "P14_source_errors": (errors, ERRORS), "T1_worklist": (worked, WORKED),
-    "F19_extracts": (extracted, EXTRACTED), "F29_research_uids": (research_uids, _research_sql()), "A20_preflight": (checked, CHECKED),
+    "F19_extracts": (extracted, EXTRACTED), "F29_research_uids": (research_uids, _research_sql()), "A20_preflight": (checked, CHECKED), "U6_identifiers": (identified, IDENTIFIED), "W4_first_instances": (first_eight, FIRST_EIGHT),
 }
 
 

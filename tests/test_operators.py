@@ -144,3 +144,14 @@ def test_packages(spark, tmp_path):
             packages.publish(entries.withColumn("path", F.lit(bad)).limit(1), root, "e2")
     entries.withColumn("content", F.when(F.col("study") == "T1", F.lit(b"new")).otherwise(F.col("content"))).where("study = 'T1'").write.mode("overwrite").partitionBy("subject", "study").parquet(f"{root}/e1/files")
     assert {r.path: r.status for r in packages.checked(spark, root, "e1").collect()} == {"S1/a.txt": "changed", "S1/b.txt": "missing"}
+
+
+def test_identifiers_and_first_instances(spark):
+    """Nulls, one-letter parts, repeats and inactive files; a study with nothing left isn't returned."""
+    columns = "file_id string, study_uid string, series_uid string, sop_uid string, accession string, patient_id string, patient_name string, active boolean"
+    rows = [("b", "1.2", "1.2.3", "1.2.3.4", None, "P1", "DOE^J=D^JO", True), ("a", "1.2", "1.2.3", "1.2.3.5", "A1", "P1", "DOE^J", True), ("c", "1.2", "9", "9.9", "A9", "P9", "GONE", False), ("d", "9.1", "1", "2", "3", "4", "5", False)]
+    instances = spark.createDataFrame(rows, columns)
+    got = review.identifiers(instances).collect()
+    assert [(r.uid, r.identifiers) for r in got] == [("1.2", sorted(["1.2", "1.2.3", "1.2.3.4", "1.2.3.5", "A1", "P1", "DOE^J=D^JO", "DOE^J", "DOE", "JO"]))]
+    assert [tuple(r) for r in review.first_instances(instances, 1).collect()] == [("1.2", "a", 1)]
+    assert review.identifiers(instances.limit(0)).count() == review.first_instances(instances.limit(0)).count() == 0
