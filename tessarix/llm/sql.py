@@ -31,4 +31,20 @@ _MIXING = """with d as (select doc_id, source, cast(coalesce(len(regexp_extract_
   e as (select d.*, source_size, target, case when source_size > 0 then budget // source_size else 0 end as epochs, budget, coalesce(sum(size) over (partition by d.source order by k, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as ahead from d join b on d.source is not distinct from b.source)
 select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(size, budget - epochs * source_size - ahead)) as bigint) as taken from e"""
 
-ORACLES: dict[str, str] = {"op2_hilbert_neighbours": _NEIGHBOURS, "op9_jaccard_join": _JACCARD, "op10_source_mixing": _MIXING}
+#: All phrases by joins of consecutive words, the cuts' scores in 128 bits.
+_PHRASES = """with d as (select coalesce(lang, 'und') as lang, row_number() over () as doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+  p as (select lang, doc, generate_subscripts(ps, 1) as piece, unnest(ps) as t from (select lang, doc, regexp_extract_all(t, '[^.,;:!?\\x0A-\\x0D]+') as ps from d)),
+  w as (select lang, regexp_extract_all(t, '[^\\x20\\x09]+') as w from p),
+  g as (select lang, w[i : i + k - 1] as g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from (select lang, w, unnest([1, 2, 3, 4]) as k from w))),
+  n as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+  f as (select lang, g, count(*) as f from g group by lang, g having count(*) >= 30),
+  c as (select lang, g, f as a, unnest(range(1, len(g))) as k from f where len(g) > 1),
+  s as (select c.lang, c.g, a, k, l.f as l, r.f as r, (2000000 * cast(a as hugeint)) // (l.f + r.f) as score from c join f l on l.lang = c.lang and l.g = c.g[1 : k] join f r on r.lang = c.lang and r.g = c.g[k + 1 :]),
+  b as (select *, row_number() over (partition by lang, g order by score, k) as best from s),
+  i as (select lang, g[i : i + m - 1] as g, f from (select lang, g, f, m, unnest(range(1, len(g) - m + 2)) as i from (select lang, g, f, unnest(range(2, len(g))) as m from f where len(g) > 2))),
+  x as (select lang, g, max(f) as longer from i group by lang, g),
+  o as (select b.lang, array_to_string(b.g, ' ') as phrase, a, l, r, cast(score as bigint) as score from b left join x on x.lang = b.lang and x.g = b.g where best = 1 and (longer is null or 100 * longer < 80 * a)),
+  q as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from o)
+select q.lang, rank, phrase, a, l, r, n, score from q join n on n.lang = q.lang where rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op2_hilbert_neighbours": _NEIGHBOURS, "op9_jaccard_join": _JACCARD, "op10_source_mixing": _MIXING, "op12_phrase_mining": _PHRASES}
