@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, hilbert, jaccard, matroska, mixing, phrases, quotes, rules, simple8b, spans, templates
+from . import bytebpe, crf, hilbert, jaccard, lexical, matroska, mixing, phrases, quotes, rules, simple8b, spans, templates
 from .sql import ORACLES
 
 QUERIES = {
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_simple8b_ids": simple8b.query,
     "op9_jaccard_join": jaccard.query,
     "op10_source_mixing": mixing.query,
+    "op11_language_crf": crf.query,
     "op12_phrase_mining": phrases.query,
+    "op13_ranked_search": lexical.query,
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -47,4 +47,17 @@ _PHRASES = """with d as (select coalesce(lang, 'und') as lang, row_number() over
   q as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from o)
 select q.lang, rank, phrase, a, l, r, n, score from q join n on n.lang = q.lang where rank <= 2000"""
 
-ORACLES: dict[str, str] = {"op2_hilbert_neighbours": _NEIGHBOURS, "op9_jaccard_join": _JACCARD, "op10_source_mixing": _MIXING, "op12_phrase_mining": _PHRASES}
+#: Every document against every item by their common terms.
+_LEXICAL = """with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as t from documents),
+  c as (select doc_id, t, cast(len(t) as bigint) as n from d where len(t) > 0),
+  a as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from c),
+  m as (select doc_id, t, 75 + (25 * n * n_docs) // n_terms as m from c cross join a),
+  p as (select doc_id, m, term, count(*) as tf from (select doc_id, m, unnest(t) as term from m) u group by doc_id, m, term),
+  f as (select term, count(*) as df from p group by term),
+  w as (select term, cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / (2 * df + 1))) as bigint) as w from f cross join a),
+  i as (select item_id, term, count(*) as q from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark) u group by item_id, term),
+  s as (select item_id, doc_id, cast(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score from i join p using (term) join w using (term) group by item_id, doc_id),
+  r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0)
+select * from r where rank <= 20"""
+
+ORACLES: dict[str, str] = {"op2_hilbert_neighbours": _NEIGHBOURS, "op9_jaccard_join": _JACCARD, "op10_source_mixing": _MIXING, "op12_phrase_mining": _PHRASES, "op13_ranked_search": _LEXICAL}
