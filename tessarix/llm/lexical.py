@@ -23,37 +23,55 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, in_batches, slices, table
+from .common import ascii_lower, cut, in_batches, joined, plus, slices, table
 from .words import TERM, cut_words
 
 TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents returned for each item.
 MOST = 20
 #: Documents of a block at most; (item, term) rows of items that are searched at once; sums that a step adds up at once.
-BLOCK_DOCS, ITEM_TERMS, STEP = 4096, 200_000, 1 << 20
+BLOCK_DOCS, ITEM_TERMS, STEP = 4096, 200_000, 1 << 19
+#: Bytes of texts that are cut into terms at once.
+TEXT_BYTES = 1 << 20
 #: Of the score.
-SCALE, TF, LENGTH = 1_000_000_000, 1000, 12
+SCALE, TF, LENGTH, LEAST_M = 1_000_000_000, 1000, 12, 75
 #: A null doc_id inside the index.
 _NONE = (1 << 63) - 1
 _INDEX = "m long, docs array<long>, terms array<string>, held array<int>, tf array<int>, place array<int>"
 _NARROW = "m long, bound long, docs array<long>, terms array<int>, held array<int>, tf array<int>, place array<int>"
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.regexp_count("text", F.lit(TERMS)).cast("long").alias("n")).where("n > 0")
+def _lengths(texts: pa.Array) -> np.ndarray:
+    """Terms of each text."""
+    data, starts = joined(texts)
+    solid = TERM[data]
+    begin = np.flatnonzero(solid & ~np.concatenate(([False], solid[:-1])))
+    return np.diff(np.searchsorted(begin, starts))
 
 
 def totals(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all terms."""
-    one = counted(docs).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches, "text", TEXT_BYTES):
+            n = _lengths(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["docs", "terms"])
+
+    one = in_batches(docs.select("text"), run, "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
     return one[0], one[1]
 
 
 def index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """A row for each block: its m, documents, sorted terms, how many documents hold each, and their tf and place."""
-    m = F.expr(f"75 + cast((cast(n as decimal(20, 0)) * cast({25 * n_docs} as decimal(20, 0))) div {max(1, n_terms)}L as long)")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches, "text", TEXT_BYTES):
+            n = _lengths(batch.column("text"))
+            m = [LEAST_M + (25 * x * n_docs) // max(1, n_terms) for x in n.tolist()]  # whole numbers of any size
+            yield plus(batch, ["doc_id", "text"], m=pa.array(m, pa.int64())).filter(pa.array(n > 0))
+
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counted(docs).select(F.coalesce("doc_id", F.lit(_NONE)).cast("long").alias("doc_id"), m.alias("m"), "text")
+    dealt = in_batches(docs.select(F.coalesce("doc_id", F.lit(_NONE)).cast("long").alias("doc_id"), "text"), run, "doc_id long, text string, m long")
     return in_batches(dealt.repartitionByRange(parts, "m", "doc_id").sortWithinPartitions("m", "doc_id"), _blocks, _INDEX)
 
 
@@ -62,7 +80,7 @@ def _lists(values, counts: np.ndarray) -> pa.Array:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", TEXT_BYTES):
         found = cut_words(batch.column("text"), TERM)
         m, docs, rows = batch.column("m").to_numpy(), batch.column("doc_id"), batch.num_rows
         first = np.concatenate(([True], m[1:] != m[:-1]))
