@@ -296,7 +296,8 @@ def search(docs: DataFrame, items: DataFrame, most: int = MOST) -> DataFrame:
         for row in in_batches(written.select("terms", "held"), _frequencies(asked), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
             df[row.term] = row.df  # a row for each asked term at most
         asked.weigh(df, n_docs)
-        ordered = in_batches(written, _narrowed(asked), _NARROW).sortWithinPartitions(F.desc("bound"))
+        # a table of its own, so that no task runs both steps' workers at once
+        ordered = cut(in_batches(written, _narrowed(asked), _NARROW), "asked").sortWithinPartitions(F.desc("bound"))
         found = found.unionByName(in_batches(ordered, _scored(asked, most), "item_id long, doc_id long, score long"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     ranked = found.withColumn("rank", place).where(F.col("rank") <= most)
