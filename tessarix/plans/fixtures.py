@@ -44,7 +44,7 @@ def fx(d: Spark) -> str:
     ]
     text = " ".join(f"when {i} then {x}" for i, x in enumerate(lines))
     return f"""
-fx_patient as (select c_custkey, concat('P', lpad(cast(c_custkey as string), 7, '0')) as patient_id, concat('FAM', {letters('cast(floor(c_custkey / 2) as bigint)', 7)}) as family,
+fx_patient as (select c_custkey, concat('P', lpad(cast(c_custkey as string), 7, '0')) as patient_id, concat(case when c_custkey % 9 = 4 then 'VAN ' else '' end, 'FAM', {letters('c_custkey % 40', 2)}) as family,
   concat('GIV', {letters('c_custkey', 6)}) as given, date '1940-01-01' + cast(c_custkey * 37 % 20000 as int) as dob from {d.t('customer')}),
 fx_order as (select o_orderkey, o_custkey, concat('1.2.840.99.', cast(o_orderkey as string)) as study_uid, concat('A', lpad(cast(o_orderkey as string), 8, '0')) as accession,
   cast(o_orderdate as date) as exam, case o_orderkey % 4 when 0 then 'MR' when 1 then 'CT' when 2 then 'US' else 'DX' end as modality,
