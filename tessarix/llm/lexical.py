@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,9 @@ TEXT_BYTES = 1 << 20
 SCALE, TF, LENGTH, LEAST_M = 1_000_000_000, 1000, 12, 75
 #: A null doc_id inside the index.
 _NONE = (1 << 63) - 1
-_INDEX = "m long, docs array<long>, terms array<string>, held array<int>, tf array<int>, place array<int>"
-_NARROW = "m long, bound long, docs array<long>, terms array<int>, held array<int>, tf array<int>, place array<int>"
+#: Lists are compressed blobs, so that a reader that takes many blocks at once holds no more than their files do.
+_INDEX = "m long, docs array<long>, terms binary, held binary, tf binary, place binary"
+_NARROW = "m long, bound long, docs array<long>, terms binary, held binary, tf binary, place binary"
 
 
 def _lengths(texts: pa.Array) -> np.ndarray:
@@ -75,8 +77,23 @@ def index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     return in_batches(dealt.repartitionByRange(parts, "m", "doc_id").sortWithinPartitions("m", "doc_id"), _blocks, _INDEX)
 
 
-def _lists(values, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
+def _pack(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers, np.int32).tobytes())
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32).astype(np.int64)
+
+
+def _said(blob: bytes) -> pa.Array:
+    """The sorted terms of a block."""
+    return pc.split_pattern(pa.array([zstandard.ZstdDecompressor().decompress(blob).decode()]), "\n").values
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,19 +115,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, row, tf = group[best], row[best], tf[best]
         new = np.flatnonzero(np.diff(group, prepend=-1))
         of, term = np.divmod(group[new], held_terms)
-        per = np.bincount(of, minlength=len(starts))
-        postings = np.bincount(group // held_terms, minlength=len(starts))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(m[starts], pa.int64()),
-                _lists(docs, np.diff(starts, append=rows)),
-                _lists(found.known.take(pa.array(order[term])).cast(pa.string()), per),
-                _lists(pa.array(np.diff(new, append=len(group)), pa.int32()), per),
-                _lists(pa.array(tf, pa.int32()), postings),
-                _lists(pa.array(row - starts[block[row]], pa.int32()), postings),
-            ],
-            names=["m", "docs", "terms", "held", "tf", "place"],
-        )
+        held, place = np.diff(new, append=len(group)), row - starts[block[row]]
+        edges, ends = np.searchsorted(of, np.arange(len(starts) + 1)), np.append(new, len(group))
+        words, numbers = found.known.take(pa.array(order[term])).to_pylist(), docs.to_numpy()
+        for i, (low, high) in enumerate(zip(edges, edges[1:])):
+            a, b = ends[low], ends[high]
+            yield _table(_INDEX, [(m[starts[i]], numbers[starts[i] : starts[i + 1] if i + 1 < len(starts) else rows], zstandard.ZstdCompressor(level=1).compress("\n".join(words[low:high]).encode()), _pack(held[low:high]), _pack(tf[a:b]), _pack(place[a:b]))])
 
 
 def items_of(items: DataFrame) -> DataFrame:
@@ -166,21 +176,22 @@ def impact(tf: np.ndarray, m: int) -> np.ndarray:
     return ((SCALE * known.astype(np.int64)) // (TF * known.astype(np.int64) + LENGTH * m))[at]
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    return column.values, offsets
+def _asked_terms(asked: Asked, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of asked terms among those of a block, and which they are."""
+    at = pc.index_in(_said(blob), value_set=pa.array(asked.terms, pa.string()))
+    some = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    return some, pc.fill_null(at, 0).to_numpy()[some].astype(np.int64)
 
 
 def _frequencies(asked: Asked):
     """df of the asked terms, from each block's counts."""
 
     def run(batches):
-        known, df = pa.array(asked.terms, pa.string()), np.zeros(len(asked.terms), np.int64)
+        df = np.zeros(len(asked.terms), np.int64)
         for batch in batches:
-            at = pc.index_in(batch.column("terms").flatten().cast(pa.string()), value_set=known)
-            held = batch.column("held").flatten().to_numpy()
-            found = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-            df += np.bincount(pc.fill_null(at, 0).to_numpy()[found], weights=held[found], minlength=len(df)).astype(np.int64)
+            for row in batch.to_pylist():
+                some, terms = _asked_terms(asked, row["terms"])
+                df[terms] += _unpack(row["held"])[some]  # a block has each term once
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], names=["term", "df"])
 
@@ -191,29 +202,17 @@ def _narrowed(asked: Asked):
     """Of each block the asked terms' postings alone, with the most that any item can get from it."""
 
     def run(batches):
-        known = pa.array(asked.terms, pa.string())
         for batch in batches:
-            at = pc.index_in(batch.column("terms").flatten().cast(pa.string()), value_set=known)
-            valid = at.is_valid().to_numpy(zero_copy_only=False)
-            at = pc.fill_null(at, 0).to_numpy()
-            n_terms = pc.list_value_length(batch.column("terms")).to_numpy()
-            held = batch.column("held").flatten().to_numpy().astype(np.int64)
-            tf, place = batch.column("tf").flatten().to_numpy(), batch.column("place").flatten().to_numpy()
-            begins, block = np.cumsum(held) - held, np.repeat(np.arange(batch.num_rows), n_terms)
-            some = np.flatnonzero(valid)
-            take = _ranges(begins[some], held[some])
-            m, bounds = batch.column("m").to_numpy(), np.zeros(batch.num_rows, np.int64)
-            edges = np.searchsorted(block[some], np.arange(batch.num_rows + 1))
-            for i in range(batch.num_rows):
-                mine = some[edges[i] : edges[i + 1]]
-                if len(mine):
-                    which, entry = asked.pairs(at[mine])
-                    sums = np.zeros(len(asked.ids), np.int64)
-                    np.add.at(sums, asked.items[entry], asked.weights[entry] * impact(tf[begins[mine]], int(m[i]))[which])
-                    bounds[i] = sums.max()
-            per, postings = np.diff(edges), np.bincount(block[some], weights=held[some], minlength=batch.num_rows).astype(np.int64)
-            out = [batch.column("m"), pa.array(bounds), batch.column("docs"), _lists(pa.array(at[some], pa.int32()), per), _lists(pa.array(held[some], pa.int32()), per), _lists(pa.array(tf[take], pa.int32()), postings), _lists(pa.array(place[take], pa.int32()), postings)]
-            yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in _NARROW.split(", ")]).filter(pa.array(bounds > 0))
+            for row in batch.to_pylist():
+                some, terms = _asked_terms(asked, row["terms"])
+                held, tf = _unpack(row["held"]), _unpack(row["tf"])
+                begins = np.cumsum(held) - held
+                which, entry = asked.pairs(terms)
+                bounds = np.zeros(len(asked.ids), np.int64)
+                np.add.at(bounds, asked.items[entry], asked.weights[entry] * impact(tf[begins[some]], row["m"])[which])
+                if bounds.max() > 0:
+                    take = _ranges(begins[some], held[some])
+                    yield _table(_NARROW, [(row["m"], bounds.max(), row["docs"], _pack(terms), _pack(held[some]), _pack(tf[take]), _pack(_unpack(row["place"])[take]))])
 
     return run
 
@@ -242,12 +241,11 @@ def _scored(asked: Asked, most: int):
     def run(batches):
         best = Best(len(asked.ids), most)
         for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column("bound")[i].as_py() < best.least.min():
+            for row in batch.to_pylist():
+                if row["bound"] < best.least.min():
                     continue
-                m = batch.column("m")[i].as_py()
-                docs, terms, held, tf, place = (batch.column(c)[i].values.to_numpy() for c in ("docs", "terms", "held", "tf", "place"))
-                held = held.astype(np.int64)
+                m, docs = row["m"], np.array(row["docs"], np.int64)
+                terms, held, tf, place = (_unpack(row[c]) for c in ("terms", "held", "tf", "place"))
                 begins, gain = np.cumsum(held) - held, impact(tf, m)
                 which, entry = asked.pairs(terms)
                 items, weights = asked.items[entry], asked.weights[entry]

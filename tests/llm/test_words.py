@@ -178,8 +178,8 @@ def test_search_without_exact_doubles():
     asked = lexical.Asked([type("R", (), dict(item_id=1, term=t, q=q)) for t, q in (("a", 10**9), ("b", 1))])
     asked.weigh(np.array([1, 2]), 10)
     assert not asked.exact
-    row = pa.table({"m": [80], "bound": [10**18], "docs": [[4, 9]], "terms": pa.array([[0, 1]], pa.list_(pa.int32())), "held": pa.array([[2, 1]], pa.list_(pa.int32())), "tf": pa.array([[3, 1, 1]], pa.list_(pa.int32())), "place": pa.array([[0, 1, 1]], pa.list_(pa.int32()))})
-    got = [r for b in lexical._scored(asked, 20)(row.to_batches()) for r in b.to_pylist()]
+    row = lexical._table(lexical._NARROW, [(80, 10**18, [4, 9], *[lexical._pack(np.array(x)) for x in ([0, 1], [2, 1], [3, 1, 1], [0, 1, 1])])])
+    got = [r for b in lexical._scored(asked, 20)([row]) for r in b.to_pylist()]
     w = asked.weights.tolist()
     one = lambda tf: 10**9 * tf // (1000 * tf + 12 * 80)
     assert [(r["doc_id"], r["score"]) for r in got] == [(4, w[0] * one(3)), (9, w[0] * one(1) + w[1] * one(1))]
