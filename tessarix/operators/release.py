@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from ..functions.dialect import Spark
 from ..plans.fixtures import fx
-from .linkage import suggested
-from .studies import matched
 
 
 def manifest(d: Spark) -> str:
@@ -15,12 +13,6 @@ def manifest(d: Spark) -> str:
       select status, count(*) as files, sum(lbytes) as bytes from (select case when tpath is null then 'missing' when lpath is null then 'unlisted' when lsum <> tsum then 'changed' else 'unchanged' end as status, lbytes from listed full outer join there on lpath = tpath) x group by status"""
 
 
-def queue(d: Spark) -> str:
-    """The review queue by best bucket; a study without suggestions is in it too."""
-    return f"""{suggested(d)}, best as (select uid as quid, fingerprint as qprint, bucket, points from suggestions where position = 0)
-      select coalesce(bucket, 'no suggestions') as bucket, count(*) as studies, max(points) as best_points from studies left join best on quid = uid and qprint = fingerprint where study % 4 = 0 group by 1"""
-
-
 def jobs(d: Spark) -> str:
     """Jobs by kind: failed, finished, longest, and each user's latest."""
     return f"""with log as (select event_id, event_type as kind, user_id, ts, case when event_type = 'error' then 'failed' else 'finished' end as state, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from {d.t('events')})
@@ -39,12 +31,4 @@ def header_check(d: Spark) -> str:
       sum(case when asop is null or aname <> patient_name then 1 else 0 end) = 0 and count(distinct sop_uid) = count(*) as ready from fx_instances left join again on asop = sop_uid group by study_uid"""
 
 
-def detail(d: Spark) -> str:
-    """A study's candidates (E12's) by strength of reason and path, with its associated report appended if it is none of them."""
-    return f"""with {matched(d)}, linked as (select uid as luid, case when study % 29 = 0 then 1 else study end as lreport from studies where study % 4 <> 0),
-      every as (select uid, report, reason, case when reason like '%Study UID%' then 0 when reason like '%Accession%' then 1 else 2 end as strength from candidates
-        union all select luid, lreport, 'associated', 3 from linked left join candidates on uid = luid and report = lreport where uid is null)
-      select uid, e.report as report, path, reason, strength, row_number() over (partition by uid order by strength, path, e.report) - 1 as position from every e join k on k.report = e.report"""
-
-
-QUERIES = {"S14_package_check": manifest, "J15_review_queue": queue, "A29_jobs": jobs, "S15_audit": audit, "J21_header_check": header_check, "J27_study_detail": detail}
+QUERIES = {"S14_package_check": manifest, "A29_jobs": jobs, "S15_audit": audit, "J21_header_check": header_check}

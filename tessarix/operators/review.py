@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dialect import Spark
+
 # States that are closed to matching, and the object classes that a release may hold.
 CLOSED = ("conflict", "approved", "exported", "review")
 RELEASED = {
@@ -32,10 +34,16 @@ RELEASED = {
 LEAST_NOTE, MOST_NOTE = 15, 2000
 
 
+def fingerprint_of(d: Spark, fields) -> str:
+    """A3: the hash of a group of files, of all their fields by name; each value goes with its length, so no two headers look alike."""
+    known = lambda c: f"coalesce(concat(cast(length(cast({c} as string)) as string), ':', cast({c} as string)), '-')"
+    return d.sha(d.join(d.sort(d.list(f"concat({', '.join(known(c) for c in sorted(fields))})")), ";"))
+
+
 def fingerprints(instances: DataFrame) -> DataFrame:
     """A3: uid, fingerprint: a hash of all that is known of a study's files - id, size, time and every header field."""
-    fields = [F.col(c) for c in sorted(instances.columns) if c not in ("study_uid", "active")]
-    return instances.groupBy(F.col("study_uid").alias("uid")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))), 256).alias("fingerprint"))
+    fields = [c for c in instances.columns if c != "active"]
+    return instances.groupBy(F.col("study_uid").alias("uid")).agg(F.expr(fingerprint_of(Spark(), fields)).alias("fingerprint"))
 
 
 def descriptions(instances: DataFrame, most: int = 3) -> DataFrame:
@@ -219,21 +227,33 @@ def verified_sources(instances: DataFrame, listing: DataFrame, leads: DataFrame,
     return counts.join(total).select("studies", only(F.col("n"), "checked"), only(F.col("ok"), "unchanged"), only(F.col("n") - F.col("ok"), "missing_or_changed"), only(F.col("whole"), "whole_studies"))
 
 
-def preflight(instances: DataFrame, native: tuple = ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1"), compressed: tuple = ("1.2.840.10008.1.2.4.50", "1.2.840.10008.1.2.4.70", "1.2.840.10008.1.2.4.90")) -> DataFrame:
-    """Per study instances, series, unique SOPs, multi-frame ones, native, compressed and other syntaxes, missing tags, ready."""
-    tags = ("series_uid", "sop_uid", "sop_class", "modality")
-    missing = sum((F.when(F.coalesce(F.col(t), F.lit("")) == "", 1).otherwise(0) for t in tags), F.lit(0))
-    per = instances.where("active").groupBy(F.col("study_uid").alias("uid")).agg(
+# What a viewer takes uncompressed and losslessly compressed, and the tags that each instance needs.
+NATIVE, COMPRESSED = ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1"), ("1.2.840.10008.1.2.4.70", "1.2.840.10008.1.2.4.90")
+REQUIRED = ("read_study", "series_uid", "sop_uid", "sop_class", "syntax")
+
+
+def preflight(instances: DataFrame) -> DataFrame:
+    """Uid, instances, series, sops, multiframe, native, compressed, unsupported, missing (a map of tag to count), errors, ready.
+
+    read_study is the study that the file itself names and readable whether it can be read; an unreadable file is an error and nothing else,
+    one of another study an error too. A syntax that isn't known doesn't keep a study back.
+    """
+    read = instances.where("active").withColumn("ok", F.coalesce("readable", F.lit(False)))
+    lacks = {t: F.col("ok") & (F.coalesce(F.col(t), F.lit("")) == "") for t in REQUIRED}
+    of = lambda c: F.count_distinct(F.when(F.col("ok") & (F.col(c) != ""), F.col(c)))
+    syntax = F.coalesce("syntax", F.lit(""))
+    per = read.groupBy(F.col("study_uid").alias("uid")).agg(
         F.count("*").alias("instances"),
-        F.count_distinct("series_uid").alias("series"),
-        F.count_distinct("sop_uid").alias("sops"),
-        F.count_if(F.col("frames") > 1).alias("multiframe"),
-        F.count_if(F.col("syntax").isin(*native)).alias("native"),
-        F.count_if(F.col("syntax").isin(*compressed)).alias("compressed"),
-        F.count_if(~F.coalesce(F.col("syntax").isin(*native, *compressed), F.lit(False))).alias("unsupported"),
-        F.sum(missing).alias("missing_tags"),
+        of("series_uid").alias("series"),
+        of("sop_uid").alias("sops"),
+        F.count_if(F.col("ok") & (F.col("frames") > 1)).alias("multiframe"),
+        F.count_if(F.col("ok") & syntax.isin(*NATIVE)).alias("native"),
+        F.count_if(F.col("ok") & syntax.isin(*COMPRESSED)).alias("compressed"),
+        F.count_if(F.col("ok") & ~syntax.isin(*NATIVE, *COMPRESSED)).alias("unsupported"),
+        F.map_filter(F.create_map(*[x for t, c in lacks.items() for x in (F.lit(t), F.count_if(c))]), lambda _, n: n > 0).alias("missing"),
+        (F.count_if(~F.col("ok")) + F.count_if(F.col("ok") & (F.coalesce("read_study", F.lit("")) != F.col("study_uid")))).alias("errors"),
     )
-    return per.withColumn("ready", (F.col("instances") == F.col("sops")) & (F.col("unsupported") == 0) & (F.col("missing_tags") == 0))
+    return per.withColumn("ready", (F.col("instances") == F.col("sops")) & (F.size("missing") == 0) & (F.col("errors") == 0))
 
 
 def with_coverage(texts: DataFrame, narratives: DataFrame | None) -> tuple[DataFrame, str]:

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from ..functions.dialect import Spark
-from ..plans.fixtures import fingerprint, fx
+from ..plans.fixtures import conflicts, fingerprint, fx
 
 
 def study_build(d: Spark) -> str:
-    """A study's counts, modalities, first fields, conflicts, fingerprint and subject."""
-    differ = lambda x, label: f"case when count(distinct nullif(trim({x}), '')) > 1 then '{label}' end"
-    return f"""with {fx(d)}, firsts as (select study_uid as fid, min_by(accession, file_id) as accession, min_by(patient_id, file_id) as patient, min_by(patient_name, file_id) as name, min_by(study_date, file_id) as date from fx_instances group by study_uid),
-    grouped as (select study_uid as uid, count(*) as n_instances, sum(size) as bytes, {d.csv('modality')} as modality,
-      concat_ws(', ', case when count(distinct concat_ws('|', patient_id, issuer, patient_name)) > 1 then 'patient identity' end, {differ('accession', 'accession')}, {differ('birth_date', 'date of birth')}, {differ('study_date', 'study date')}) as conflicts,
-      {fingerprint(d)} as fingerprint from fx_instances group by study_uid)
+    """A study's counts, modalities, first fields, conflicts, fingerprint and subject, in one aggregation; a study whose patient ID is blank is a subject of its own."""
+    first = lambda x: f"min_by({x}, file_id)"
+    return f"""with {fx(d)}, grouped as (select study_uid as uid, count(*) as n_instances, sum(size) as bytes, {d.csv('modality')} as modality, {conflicts(d)} as conflicts, {fingerprint(d)} as fingerprint,
+      {first('accession')} as accession, {first('patient_id')} as patient, {first('patient_name')} as name, {first('study_date')} as date, {first('issuer')} as issuer from fx_instances group by study_uid)
     select uid, n_instances, bytes, modality, conflicts, fingerprint, accession, patient, name, date,
-      concat('SUBJECT_', substring({d.hmac(b'study-key', "concat('subject', chr(0), 'SYN', chr(0), patient)")}, 1, 20)) as subject from grouped join firsts on uid = fid"""
+      concat('SUBJECT_', substring({d.hmac(b'study-key', "concat('subject', chr(0), case when patient = '' then uid else concat(issuer, chr(0), patient) end)")}, 1, 20)) as subject from grouped"""
 
 
 def duplicates(d: Spark) -> str:
@@ -57,47 +55,6 @@ def folder_scope(d: Spark) -> str:
     select folder from chosen left join inside on folder = child where child is null"""
 
 
-def matched(d: Spark) -> str:
-    """Exact candidates by identifier, and surname candidates, once for each study and report."""
-    return f"""{fx(d)}, k as (select report, path, text from fx_reports),
-    keyed as (select report, concat('U:', u) as key, 'Study UID' as reason from (select report, {d.explode(_scan(d, 'uid'))} as u from k) a union all
-      select report, concat('A:', u), 'Accession / filename' from (select report, {d.explode(_scan(d, 'accession'))} as u from k) b union all select report, concat('A:', {_stem(d)}), 'Accession / filename' from k),
-    exact as (select uid, report, {d.csv('reason')} as reason, 1 as priority from (select uid, report, reason from studies join keyed on key = concat('U:', uid) union all select uid, report, reason from studies join keyed on key = concat('A:', accession)) e group by uid, report),
-    words as (select distinct report, w from (select report, {d.explode(d.rxall("upper(concat(text, ' ', path))", '[A-Z0-9]+'))} as w from k) x),
-    surnames as (select uid, report, 'Last name in report or filename' as reason, 2 as priority from (select uid, report, row_number() over (partition by uid order by report) as rn from studies join words on w = {_surname(d)}) s where rn <= 101),
-    candidates as (select uid, report, reason, priority from (select *, row_number() over (partition by uid, report order by priority) as rn from (select * from exact union all select * from surnames) u) r where rn = 1)"""
-
-
-def states(d: Spark) -> str:
-    """Exact candidates by identifier, surname candidates, and the state that follows."""
-    return f"""with {matched(d)},
-    per as (select uid as cuid, count(*) as hits, sum(case when priority = 1 then 1 else 0 end) as n_exact from candidates group by uid)
-    select state, count(*) as studies, sum(n) as candidates from (select case when conflict then 'conflict' when hits = 1 and n_exact > 0 then 'candidate' when hits > 0 then 'ambiguous' else 'unmatched' end as state, hits as n from studies left join per on uid = cuid) t group by state"""
-
-
-def reasons(d: Spark) -> str:
-    """The distinct reasons of each candidate, identifiers before surnames."""
-    return f"with {matched(d)} select uid, report, reason, priority from candidates"
-
-
-def _scan(d, which):
-    from ..functions.text import SCAN_ACCESSION, SCAN_UID
-
-    return d.rxall("text", SCAN_UID if which == "uid" else SCAN_ACCESSION, 1)
-
-
-def _stem(d):
-    from ..functions.text import stem
-
-    return stem(d, "path")
-
-
-def _surname(d):
-    from ..functions.text import surname
-
-    return f"({surname(d, 'name')})"
-
-
 QUERIES = {
     "A1_study_build": study_build,
     "A24_duplicate_instances": duplicates,
@@ -105,6 +62,4 @@ QUERIES = {
     "S3_incremental_inventory": inventory,
     "A6_source_coverage": coverage,
     "S2_folder_scope": folder_scope,
-    "E12_study_states": states,
-    "A8_reasons": reasons,
 }

@@ -82,4 +82,4 @@ XML_SQL = """select doc_id as report, case when doc_id % 31 = 0 then 'unparsed'
 sha256(case when doc_id % 31 = 0 then '<labResult><notes>broken' when doc_id % 3 = 0 then concat('line ', cast(doc_id as varchar)) else concat('doc ', coalesce(text, '')) end) as text_sha256 from documents"""
 
 QUERIES = {name: run(b) for name, b in BUILDERS.items()} | {"S9_dump_rows": dump_rows, "F43_xml_reports": xml_reports} | {name: q for name, (q, _) in given.QUERIES.items()} | linked.QUERIES
-ORACLES = {name: whole(b(Duck())) for name, b in BUILDERS.items()} | {"S9_dump_rows": DUMP_SQL, "F43_xml_reports": XML_SQL} | {name: given.oracle(sql) for name, (_, sql) in given.QUERIES.items()} | linked.ORACLES
+ORACLES = {name: whole(b(Duck())) for name, b in {**BUILDERS, **linked.PRODUCTS}.items()} | {"S9_dump_rows": DUMP_SQL, "F43_xml_reports": XML_SQL} | {name: given.oracle(sql) for name, (_, sql) in given.QUERIES.items()} | linked.ORACLES

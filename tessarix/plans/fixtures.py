@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.dialect import Spark
+from ..operators import review
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -20,10 +21,19 @@ def mdy(x: str) -> str:
     return f"concat(substring({y}, 6, 2), '/', substring({y}, 9, 2), '/', substring({y}, 1, 4))"
 
 
+#: Header fields of an instance.
+HEADER = ("study_uid", "series_uid", "sop_uid", "accession", "patient_id", "issuer", "patient_name", "study_date", "modality", "burned", "birth_date", "region")
+
+
 def fingerprint(d: Spark) -> str:
     """A3: a hash of all that is known of a study's files."""
-    fields = ("file_id", "cast(size as string)", "cast(mtime as string)", "study_uid", "series_uid", "sop_uid", "accession", "patient_id", "issuer", "patient_name", "study_date", "modality", "burned", "birth_date", "region")
-    return d.sha(d.join(d.sort(d.list(f"concat_ws('|', {', '.join(fields)})")), ";"))
+    return review.fingerprint_of(d, ("file_id", "size", "mtime", *HEADER))
+
+
+def conflicts(d: Spark) -> str:
+    """A2: in what the files of a study contradict each other, '' if in nothing."""
+    differ = lambda x, label: f"case when count(distinct nullif(trim({x}), '')) > 1 then '{label}' end"
+    return f"concat_ws(', ', case when count(distinct concat_ws('|', patient_id, issuer, patient_name)) > 1 then 'patient identity' end, {differ('accession', 'accession')}, {differ('birth_date', 'date of birth')}, {differ('study_date', 'study date')})"
 
 
 def fx(d: Spark) -> str:
@@ -52,8 +62,8 @@ fx_order as (select o_orderkey, o_custkey, concat('1.2.840.99.', cast(o_orderkey
   concat(case o_orderkey % 4 when 0 then 'MRI ' when 1 then 'CT ' when 2 then 'ULTRASOUND ' else 'XRAY ' end, case o_orderkey % 5 when 0 then 'LUMBAR' when 1 then 'CERVICAL' when 2 then 'CHEST' when 3 then 'BRAIN' else 'KNEE' end) as title,
   patient_id, family, given, dob, o_orderstatus = 'F' as closed from {d.t('orders')} join fx_patient on o_custkey = c_custkey),
 fx_instances as (select concat('/src/img/', cast(o_orderkey as string), '/', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(floor(l_extendedprice) as bigint) as string), '.dcm') as file_id, o_orderkey, l_linenumber, study_uid, concat(study_uid, '.', cast(l_suppkey as string)) as series_uid,
-  concat(study_uid, '.', cast(l_suppkey as string), '.', cast(l_partkey as string), '.', cast(l_linenumber as string)) as sop_uid, accession, patient_id, 'SYN' as issuer,
-  case when o_orderkey % 53 = 0 and l_linenumber % 2 = 0 then 'OTHER^PERSON' else concat(family, '^', given) end as patient_name, {ymd('exam')} as study_date,
+  concat(study_uid, '.', cast(l_suppkey as string), '.', cast(l_partkey as string), '.', cast(l_linenumber as string)) as sop_uid, accession, case when o_orderkey % 67 = 0 then '' else patient_id end as patient_id, case when o_orderkey % 3 = 0 then 'SYN' else 'OWN' end as issuer,
+  case when o_orderkey % 53 = 0 and l_linenumber % 2 = 0 then 'OTHER^PERSON' else concat(family, '^', given) end as patient_name, case when o_orderkey % 59 = 0 and l_linenumber = 3 then {ymd('exam + 1')} else {ymd('exam')} end as study_date,
   case when l_linenumber = 7 then 'SR' else modality end as modality, case when l_returnflag = 'R' then 'YES' else 'NO' end as burned,
   case when o_orderkey % 6 = 0 then '' else {ymd('dob')} end as birth_date, cast(floor(l_extendedprice) as bigint) as size, l_partkey * 1000 as mtime, region, l_partkey, l_suppkey, l_linestatus = 'F' as i_closed
   from {d.t('lineitem')} join fx_order on l_orderkey = o_orderkey),
@@ -62,10 +72,12 @@ fx_reports as (select o_orderkey as report, case when o_orderkey % 10 = 9 then c
 fx_study as (select study_uid as uid, min(o_orderkey) as study, count(*) as n, sum(size) as bytes, {d.csv('modality')} as modality, min(accession) as accession, min(patient_id) as patient,
   min(case when l_linenumber = 1 then patient_name end) as name1, min(patient_name) as name2, min(study_date) as date, min(birth_date) as dob, min(region) as region,
   {fingerprint(d)} as fingerprint,
-  count(distinct concat_ws('|', patient_id, issuer, patient_name)) > 1 as conflict from fx_instances group by study_uid),
+  {conflicts(d)} <> '' as conflict from fx_instances group by study_uid),
 studies as (select uid, study, n, bytes, modality, accession, patient, coalesce(name1, name2) as name, date, dob, region, fingerprint, conflict from fx_study),
-fx_dump as (select o_orderkey as report_id, o_orderkey as encounter_id, concat('PATIENT NAME: ', family, ', ', given, ' MRN: ', patient_id, ' DATE OF BIRTH: ', {mdy('dob')}, ' FINDINGS: normal') as narrative,
-  {ymd('exam + 1')} as result_date, case when o_orderkey % 97 = 0 then null else cast(o_custkey as string) end as patient_ref, case when o_orderkey % 97 = 0 then null else {ymd('exam')} end as encounter_date, title as procedure_name from fx_order),
+fx_dump as (select o_orderkey as report_id, o_orderkey as encounter_id, concat(case o_orderkey % 12 when 5 then 'SEEN: ' else '' end, case o_orderkey % 12 when 11 then '' else concat('PATIENT NAME: ', family, ', ', given) end, ' MRN: ', patient_id,
+    case o_orderkey % 12 when 6 then concat({nl}, 'NAME: OTHER, PERSON', {nl}) else '' end, case o_orderkey % 12 when 7 then ' DATE OF BIRTH: 01/02/1903' when 8 then '' else concat(' DATE OF BIRTH: ', {mdy('dob')}) end,
+    case o_orderkey % 12 when 9 then concat(' EXAM DATE: ', {mdy('exam')}) when 10 then concat(' EXAM DATE: ', {mdy('exam + 1')}) else '' end, ' FINDINGS: normal') as narrative,
+  {ymd('exam + case when o_orderkey % 5 = 0 then 0 else 1 end')} as result_date, case when o_orderkey % 97 = 0 then null else cast(o_custkey as string) end as patient_ref, case when o_orderkey % 97 = 0 then null else {ymd('exam')} end as encounter_date, title as procedure_name from fx_order),
 fx_files as (select 1 as run, concat('/src/', source, '/', cast(doc_id as string), '.txt') as path, concat('/src/', source) as root, n_chars as size, doc_id * 1000 as mtime, doc_id from {d.t('documents')}
   union all select 2, concat('/src/', source, '/', cast(doc_id as string), '.txt'), concat('/src/', source), case when doc_id % 13 = 0 then n_chars + 1 else n_chars end, doc_id * 1000, doc_id from {d.t('documents')} where doc_id % 11 <> 0
   union all select 2, concat('/src/', source, '/', cast(doc_id + 1000000 as string), '.txt'), concat('/src/', source), n_chars, doc_id * 1000, doc_id + 1000000 from {d.t('documents')} where doc_id % 17 = 0)"""

@@ -294,14 +294,40 @@ def _research_sql() -> str:
     return f"select uid, concat('2.25.', cast(cast(concat('0x', substr({token}, 1, 32)) as uhugeint) as varchar)) as research_uid from studies"
 
 
+def _read(g: Given) -> DataFrame:
+    """Instances as read again: some can't be read, name another study, lack a class or a syntax, or have the lossy one."""
+    syntax = F.when(F.col("l_partkey") % 29 == 0, "1.2.840.10008.1.2.4.50").when(F.col("l_partkey") % 31 == 0, "").otherwise(F.col("syntax"))
+    own = g.instances().withColumn("syntax", syntax).withColumn("sop_class", F.when(F.col("l_partkey") % 37 == 0, None).otherwise(F.col("sop_class")))
+    return own.withColumn("readable", F.col("l_partkey") % 41 != 0).withColumn("read_study", F.when(F.col("l_partkey") % 43 == 0, "9.9").otherwise(F.col("study_uid")))
+
+
 def checked(spark, sf_dir):
-    """Preflight of each study, and sources of the leads verified against a listing."""
-    return review.preflight(Given(spark, sf_dir).instances())
+    """Preflight of each study."""
+    out = review.preflight(_read(Given(spark, sf_dir)))
+    return out.withColumn("missing", F.array_join(F.array_sort(F.transform(F.map_entries("missing"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ","))
+
+
+CHECKED = """with r as (select *, l_partkey % 41 <> 0 as ok, case when l_partkey % 29 = 0 then '1.2.840.10008.1.2.4.50' when l_partkey % 31 = 0 then '' else syntax end as s, l_partkey % 37 = 0 as classless from g_instances where active),
+  p as (select study_uid as uid, count(*) as instances, count(distinct series_uid) filter (where ok) as series, count(distinct sop_uid) filter (where ok) as sops, count(*) filter (where ok and frames > 1) as multiframe, count(*) filter (where ok and s in ('1.2.840.10008.1.2', '1.2.840.10008.1.2.1')) as native,
+    count(*) filter (where ok and s in ('1.2.840.10008.1.2.4.70', '1.2.840.10008.1.2.4.90')) as compressed, count(*) filter (where ok and s not in ('1.2.840.10008.1.2', '1.2.840.10008.1.2.1', '1.2.840.10008.1.2.4.70', '1.2.840.10008.1.2.4.90')) as unsupported,
+    count(*) filter (where ok and classless) as no_class, count(*) filter (where ok and s = '') as no_syntax, count(*) filter (where not ok) + count(*) filter (where ok and l_partkey % 43 = 0) as errors from r group by study_uid)
+select uid, instances, series, sops, multiframe, native, compressed, unsupported, concat_ws(',', case when no_class > 0 then concat('sop_class=', no_class) end, case when no_syntax > 0 then concat('syntax=', no_syntax) end) as missing, errors, errors = 0 and no_class = 0 and no_syntax = 0 and instances = sops as ready from p"""
+
+
+def verified(spark, sf_dir):
+    """Studies by how many reports their leads have, and sources of those with one alone held against a listing."""
+    g = Given(spark, sf_dir)
+    leads = g.sql("select uid, study as report from studies where not conflict union all select uid, study + 1 from studies where study % 6 = 0 and not conflict")
+    alone = leads.where("report % 6 > 1")
+    listing = g.instances().where("l_partkey % 37 <> 0").withColumn("size", F.when(F.col("l_partkey") % 31 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    one = review.verified_sources(g.instances(), listing, alone, most_studies=1 << 40)
+    return one.join(review.uniqueness(leads).select(F.col("pairs").alias("lead_pairs"), "one", "several"))
 
 
-CHECKED = """with p as (select study_uid as uid, count(*) as instances, count(distinct series_uid) as series, count(distinct sop_uid) as sops, count(*) filter (where frames > 1) as multiframe, count(*) filter (where l_partkey % 5 in (0, 3) or (l_partkey % 5 = 4 and o_orderkey % 7 <> 0)) as native,
-  count(*) filter (where l_partkey % 5 in (1, 2)) as compressed, count(*) filter (where l_partkey % 5 = 4 and o_orderkey % 7 = 0) as unsupported, cast(0 as bigint) as missing_tags from g_instances where active group by study_uid)
-select *, unsupported = 0 and instances = sops as ready from p"""
+VERIFIED = """with i as (select study_uid, l_partkey % 37 <> 0 and l_partkey % 31 <> 0 as same from g_instances join studies on uid = study_uid where not conflict and study % 6 > 1),
+  p as (select study_uid, count(*) as n, count(*) filter (where same) as ok from i group by study_uid)
+select count(*) as studies, cast(sum(n) as bigint) as checked, cast(sum(ok) as bigint) as unchanged, cast(sum(n - ok) as bigint) as missing_or_changed, count(*) filter (where n = ok) as whole_studies,
+  (select count(*) + count(*) filter (where study % 6 = 0) from studies where not conflict) as lead_pairs, (select count(*) filter (where study % 6 <> 0) from studies where not conflict) as one, (select count(*) filter (where study % 6 = 0) from studies where not conflict) as several from p"""
 
 
 def identified(spark, sf_dir):
@@ -340,7 +366,7 @@ QUERIES = {
     "F35_redaction": (redaction, _redaction_sql()), "S7_headers": (headers, HEADERS), "A7_descriptions": (described, DESCRIBED), "P1_open_studies": (open_studies, OPEN), "V1_reconciled": (reconciled, RECONCILED), "V6_rescanned": (rescanned, RESCANNED),
     "V2_admissible": (admissible, ADMISSIBLE), "V5_exportable": (exportable, EXPORTABLE), "V7_batches": (batches, BATCHES), "F37_mask_documents": (mask_documents, MASK_DOCUMENTS), "J22_mask_targets": (mask_targets, MASK_TARGETS),
     "J9_narratives": (narrative_index, NARRATIVE_INDEX), "A23_narrative_totals": (narrative_totals, NARRATIVE_TOTALS), "P13_report_browse": (browsed, BROWSED), "P14_source_errors": (errors, ERRORS), "T1_worklist": (worked, WORKED),
-    "F19_extracts": (extracted, EXTRACTED), "F29_research_uids": (research_uids, _research_sql()), "A20_preflight": (checked, CHECKED), "U6_identifiers": (identified, IDENTIFIED), "W4_first_instances": (first_eight, FIRST_EIGHT),
+    "F19_extracts": (extracted, EXTRACTED), "F29_research_uids": (research_uids, _research_sql()), "A20_preflight": (checked, CHECKED), "A13_verified_sources": (verified, VERIFIED), "U6_identifiers": (identified, IDENTIFIED), "W4_first_instances": (first_eight, FIRST_EIGHT),
 }
 
 
