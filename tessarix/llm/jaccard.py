@@ -7,9 +7,10 @@
    its prefix: two sets that link share one, and what is left behind its place bounds all that they share. Classes with
    like size and like prefix are one group; shared prefix shingles of groups give the group pairs.
 4. A first round verifies each group against one pivot of its rarest shingles only, and closes the links to components.
-   A second verifies, where a prefix shingle still holds several components, the members of all group pairs across
-   them. So a family of near copies costs its size, not its square, while every pair that could join two components is
-   compared on whole sets.
+   A second takes, where a prefix shingle still holds several components, the members of all group pairs across them.
+   What two groups share of their prefixes, with what is left behind the last such shingle, bounds all that they share;
+   and the shingles of one member whose bits the other's sketch lacks aren't shared. Pairs that neither bound rules out
+   are compared on whole sets.
 
 Defined results: a null or empty text has no shingles and is its own component; fewer than five words are one shingle;
 equal rows, and rows with one doc_id, are one document; a null doc_id takes no part and has a null component; an empty
@@ -30,6 +31,8 @@ SHINGLE, PERCENT = 5, 75
 COUNTED = 400
 #: Pivots that a group is verified against in the first round.
 PIVOTS = 2
+#: 64-bit words of a set's sketch; one bit for each shingle, by its hash.
+SKETCH = 16
 _U = np.uint64
 _PLACES = np.random.default_rng(7).integers(1, 1 << 63, 8, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -81,15 +84,21 @@ def profiles(docs: DataFrame) -> DataFrame:
     return in_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, one long, two long, low array<long>")
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[(tokens % _U(64 * SKETCH)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def whole_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the whole set of each row."""
+    """doc_id, the whole set of each row and its sketch."""
 
     def run(batches):
         for batch in slices(batches, "text", 1 << 20):
             sets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _arrays(sets)], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _arrays(sets), _arrays([sketch(s) for s in sets])], names=["doc_id", "tokens", "bits"])
 
-    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, tokens array<long>")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, tokens array<long>, bits array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -116,6 +125,14 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
+def promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule a link out: a shingle whose bit the other sketch lacks isn't shared."""
+    narrow = lambda x: sets.select(F.col("doc_id").alias(x), F.size("tokens").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    most = F.least(F.col("na") - alone("sa", "sb"), F.col("nb") - alone("sb", "sa"))
+    return pairs.join(narrow("a"), "a").join(narrow("b"), "b").where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
@@ -182,12 +199,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     b = left.select("t", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("left").alias("eb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     one_component = (F.col("la") == F.col("hb")) & (F.col("lb") == F.col("ha")) & (F.col("la") == F.col("lb"))
     like = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.least("ea", "eb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    across = a.join(b, "t").where((F.col("ga") < F.col("gb")) & ~one_component & like).select("ga", "gb").distinct()
+    # shared prefix shingles up to the last one, and what is left behind it
+    both = a.join(b, "t").where((F.col("ga") < F.col("gb")) & ~one_component & like).groupBy("ga", "gb", "na", "nb").agg(F.count("*").alias("seen"), F.min(F.least("ea", "eb")).alias("behind"))
+    across = both.where((F.col("seen") + F.col("behind") - 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("ga", "gb")
     across = across.unionByName(spread.where("lo <> hi").select(F.col("g").alias("ga"), F.col("g").alias("gb")))
     ma = placed.select(F.col("g").alias("ga"), F.col("doc_id").alias("a"), F.col("root").alias("ra"))
     mb = placed.select(F.col("g").alias("gb"), F.col("doc_id").alias("b"), F.col("root").alias("rb"))
     rest = across.join(ma, "ga").join(mb, "gb").where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(verified(rest, sets, percent), "second")
+    more = cut(verified(promising(rest, sets, percent), sets, percent), "second")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     whole = members.join(roots, F.col("rep") == F.col("node"), "left")

@@ -166,7 +166,7 @@ def runs(doc: np.ndarray, words: np.ndarray, least_sentences: int = LEAST_SENTEN
     return pairs // (n + 1), pairs % (n + 1)
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """hash, doc_id, row, first, behind, more of the runs; row tells rows with one doc_id apart.
 
     A document gives a hash one row, however often it repeats the run: its first place, and all further ones in ``more``
@@ -176,7 +176,7 @@ def spans(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches, "text", 1 << 20):
             doc, number, _, words, marks = segmented(batch.column("text"))
-            i, j = runs(doc, words)
+            i, j = runs(doc, words, least_sentences, least_words)
             total = np.concatenate([[_U(0)], np.cumsum(marks * _powers(_STEP, len(marks))[:-1])]) if len(marks) else np.zeros(1, _U)
             span = mixed((total[j] - total[i]) * _powers(_BACK, len(marks))[i] + (j - i).astype(np.uint64)).view(np.int64)
             of, first = doc[i], number[i]
@@ -233,12 +233,16 @@ def shortened(docs: DataFrame, ranges: str, out: str) -> DataFrame:
     return in_batches(docs, run, f"{ddl}, `{out}` int")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated runs removed from text, and n_removed, the sentences that went."""
+def dedup(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with repeated runs removed from text, and n_removed, the sentences that went.
+
+    With ``least_words`` 0 every run of ``least_sentences`` counts, however short; the default leaves runs of a few short
+    sentences alone, which many documents share without being copies.
+    """
     docs = docs.drop("n_removed")
     row, name, mark, ranges = unused(docs, "row", "name", "mark", "ranges")
     named = docs.withColumn(row, F.xxhash64("text"))
-    every = cut(spans(named.select("doc_id", F.col(row).alias("row"), "text")), "runs")
+    every = cut(spans(named.select("doc_id", F.col(row).alias("row"), "text"), least_sentences, least_words), "runs")
     repeated = cut(every.groupBy("hash").agg(F.count("*").alias("n"), F.max(F.size("more")).alias("m")).where("n > 1 or m > 0").select(F.col("hash").alias("h")), "repeated")
     hits = cut(every.join(few(repeated), F.col("hash") == F.col("h")).drop("h"), "hits")
     free(every, repeated)

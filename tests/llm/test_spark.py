@@ -65,6 +65,21 @@ def test_near_family_and_common_passage(spark):
     assert got == slow_components(rows)
 
 
+def test_family_of_distant_members(spark, monkeypatch):
+    """Members that resemble the base and not each other: few pairs meet on whole sets, and no link is lost."""
+    rng = np.random.default_rng(5)
+    base, rows, seen = [f"w{i}" for i in range(200)], [], []
+    for i in range(400):
+        w = list(base)
+        for k in rng.choice(200, 5, replace=False):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    whole = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: (seen.append(pairs.count()), whole(pairs, *rest))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_components(rows) and len(seen) == 2 and seen[1] < 5_000
+
+
 def test_spans(spark, odd):
     passage = "The quick brown fox jumps over the lazy dog again today. It then runs home through the wide green forest. Nobody ever sees it there after the long dark night. Some people say that it was never real at all."
     docs = spark.createDataFrame([(1, f"Own start here. {passage}\nOwn end."), (2, f"Another beginning stands here. {passage}"), (3, "Clean text. Nothing repeats here."), (4, None)], "doc_id long, text string")
@@ -75,6 +90,26 @@ def test_spans(spark, odd):
     assert out.count() == odd.count() and set(odd.columns) < set(out.columns) and spans.dedup(odd.limit(0)).count() == 0
 
 
+def test_every_short_run(spark):
+    """Without a least number of words every repeated run of two sentences goes, by brute force over all pairs of sentences."""
+    rng = np.random.default_rng(12)
+    said = [f"{a} {b}." for a in ("We", "He", "She") for b in ("ate", "sat", "went home", "met at noon")]
+    rows = [(i, " ".join(said[k] for k in rng.integers(0, 12, 1 + i % 7))) for i in range(60)] + [(100, "We met at noon. He ate rice. She drank tea."), (101, "Before. We met at noon. He ate rice. She drank tea.")]
+    known, want = set(), {}
+    for i, text in rows:
+        cut_up = spans.sentences(text)
+        words = [s.strip().lower() for s in cut_up]
+        lost = set()
+        for k in range(len(words) - 1):
+            run = tuple(words[k : k + 2])
+            lost |= {k, k + 1} if run in known else set()
+            known.add(run)
+        want[i] = "".join(s for k, s in enumerate(cut_up) if k not in lost)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in spans.dedup(docs, least_words=0).collect()} == want and want[101] == "Before. "
+    assert all(r.n_removed == 0 for r in spans.dedup(docs).collect())
+
+
 def slow_spans(rows):
     """Text without the sentences of any place of a span but its first, by doc_id; rows have one doc_id each."""
     known, out = set(), {}
