@@ -15,7 +15,6 @@ from tessarix.operators import linkage
 from tessarix.plans import catalog
 from tessarix.plans.fixtures import TABLES, fx
 from tessarix.sources import dumps, files, reports
-from tessarix.streaming import incremental
 
 D = Spark()
 
@@ -100,20 +99,6 @@ def test_inventory(spark, tmp_path):
     assert {r.path: r["size"] for r in files.upsert(known, newer).collect()} == {"p": 9, "q": 2}
 
 
-def test_streams(spark, tmp_path):
-    schema = "path string, size int"
-    arrivals, inventory = str(tmp_path / "in"), str(tmp_path / "inv")
-    for n, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(arrivals)
-        incremental.inventory_stream(spark, arrivals, schema, inventory, str(tmp_path / "cp")).awaitTermination()
-    assert {r.path: r["size"] for r in incremental.snapshot(spark, inventory).collect()} == {"a": 2, "b": 1}
-    spark.createDataFrame([("u", "new"), ("v", "same")], "uid string, fingerprint string").write.parquet(str(tmp_path / "ch"))
-    changes = spark.readStream.schema("uid string, fingerprint string").parquet(str(tmp_path / "ch"))
-    held = spark.createDataFrame([("u", "old"), ("v", "same")], "uid string, fingerprint string")
-    incremental.invalidation_stream(changes, held, str(tmp_path / "cp2"), str(tmp_path / "lost")).awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "lost/batch=0")).collect()] == [("u", "old", "new")]
-
-
 def test_suggestions_take_dump_narratives(spark):
     """Studies without a conflict find their own dump narrative, sql before txt where points tie; conflicting ones find nothing."""
     sf = "/root/testdata/sf0.001"
