@@ -1,4 +1,4 @@
-"""Dumps read as data: INSERT lines to rows, DDL to columns. Nothing of a dump is ever executed."""
+"""Dumps read as data: INSERT lines to rows. Nothing of a dump is ever executed."""
 
 from __future__ import annotations
 
@@ -7,13 +7,11 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# The statement's head and the columns that may link tables.
+# The statement's head.
 INSERT = re.compile(r"^\s*INSERT\s+(?:IGNORE\s+)?INTO\s+(?:(?:`[^`]+`|[A-Za-z_]\w*)\s*\.\s*)?(?:`([^`]+)`|([A-Za-z_]\w*))\s+VALUES\s*", re.I)
-LINK = re.compile(r"accession|study.*uid|patient.*id|\bmrn\b|report|file.*path|filename|document", re.I)
 # Escapes of the dump format.
 _ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
 _LITERAL = re.compile(r"""\s*(?:'((?:[^'\\]|\\.|'')*)'|"((?:[^"\\]|\\.|"")*)"|(NULL)\b|([-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?))\s*([,)])""", re.S | re.I)
-_CREATE = re.compile(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\[]?(?:\w+[`\"\]]?\.[`\"\[]?)?(\w+)[`\"\]]?\s*\(", re.I)
 #: What stands for one character in a text in either kind of quotes.
 _PAIR = {q: re.compile(rf"\\(.)|{q}{q}", re.S) for q in "'\""}
 LONGEST_LINE = 32 << 20
@@ -53,11 +51,11 @@ def parse_insert(line: str) -> tuple[str | None, list[list[str | None]], str]:
 
 
 def insert_rows(lines: DataFrame, column: str = "value") -> DataFrame:
-    """table, row (array<string>), error: a row for each tuple, and one with a null row for each line that can't be read."""
+    """table, row (array<string>), error, begins: a row for each tuple, and one with a null row for each line that can't be read; begins marks the first of a line."""
 
     def run(batches):
         for batch in batches:
-            tables, rows, errors = [], [], []
+            tables, rows, errors, begins = [], [], [], []
             for line in batch.column(column).to_pylist():
                 table, found, error = parse_insert(line or "")
                 if error:
@@ -65,39 +63,7 @@ def insert_rows(lines: DataFrame, column: str = "value") -> DataFrame:
                 tables += [table] * len(found)
                 rows += found
                 errors += [error] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(tables, pa.string()), pa.array(rows, pa.list_(pa.string())), pa.array(errors, pa.string())], names=["table", "row", "error"])
+                begins += [True, *[False] * (len(found) - 1)][: len(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(tables, pa.string()), pa.array(rows, pa.list_(pa.string())), pa.array(errors, pa.string()), pa.array(begins, pa.bool_())], names=["table", "row", "error", "begins"])
 
-    return lines.select(column).mapInArrow(run, "table string, row array<string>, error string")
-
-
-def ddl_columns(dumps: DataFrame, column: str = "value") -> DataFrame:
-    """dump_table, column, is_link of every CREATE TABLE outside comments, strings and COPY data."""
-
-    def bare(text: str) -> str:
-        text = re.sub(r"(?ms)^COPY\b[^\n]*\n.*?^\\\.$", " ", text)
-        text = re.sub(r"(?s)/\*.*?\*/|--[^\n]*|\$(\w*)\$.*?\$\1\$", " ", text)
-        return re.sub(r"(?s)'(?:[^'\\]|\\.|'')*'", "''", text)
-
-    def run(batches):
-        for batch in batches:
-            out = ([], [], [])
-            for text in batch.column(column).to_pylist():
-                body = bare(text or "")
-                for m in _CREATE.finditer(body):
-                    depth, start, parts = 1, m.end(), []
-                    for i in range(m.end(), len(body)):
-                        depth += (body[i] == "(") - (body[i] == ")")
-                        if (body[i] == "," and depth == 1) or not depth:
-                            parts.append(body[start:i].strip())
-                            start = i + 1
-                        if not depth:
-                            break
-                    for part in parts:
-                        name = re.match(r"[`\"\[]?(\w+)", part)
-                        if name and name[1].upper() not in ("PRIMARY", "KEY", "UNIQUE", "CONSTRAINT", "FOREIGN", "INDEX", "CHECK", "FULLTEXT"):
-                            out[0].append(m[1])
-                            out[1].append(name[1])
-                            out[2].append(bool(LINK.search(name[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.bool_())], names=["dump_table", "column", "is_link"])
-
-    return dumps.select(column).mapInArrow(run, "dump_table string, column string, is_link boolean")
+    return lines.select(column).mapInArrow(run, "table string, row array<string>, error string, begins boolean")

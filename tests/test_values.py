@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tessarix.functions import text as tx
 from tessarix.functions.dialect import Duck, Spark
-from tessarix.operators import linkage
+from tessarix.operators import linkage, probe
 from tessarix.plans import catalog
 from tessarix.plans.fixtures import TABLES, fx
-from tessarix.sources import dumps, files, reports
+from tessarix.sources import ddl, dumps, files, reports
 
 D = Spark()
 
@@ -62,8 +62,38 @@ def test_insert_lines():
 
 def test_ddl(spark):
     sql = "-- CREATE TABLE no (a int);\nCREATE TABLE `labs` (`id` int, accession varchar(10), note text DEFAULT 'CREATE TABLE x (y int)', PRIMARY KEY (`id`));"
-    got = dumps.ddl_columns(spark.createDataFrame([(sql,)], "value string")).collect()
-    assert [(r[0], r[1], r[2]) for r in got] == [("labs", "id", False), ("labs", "accession", True), ("labs", "note", False)]
+    got = ddl.ddl_columns(spark.createDataFrame([(1, sql), (2, None)], "dump int, value string"), key="dump").collect()
+    assert [tuple(r) for r in got] == [(1, "labs", "id", False, False), (1, "labs", "accession", True, False), (1, "labs", "note", False, False)]
+
+
+def test_ddl_tokens(monkeypatch):
+    one = """CREATE TABLE t (a varchar(9) DEFAULT 'x--y', accession_no int); CREATE TABLE u ("odd, name" int, report_id int);"""
+    assert ddl.tables(one) == ([("t", ["a", "accession_no"]), ("u", ["odd, name", "report_id"])], False)
+    odd = """/* CREATE TABLE a (b int); */ COPY x (y) FROM stdin;
+CREATE TABLE inside (z int);
+\\.
+create table if not exists "my"."tab ""le" ( [a(b] int, `c,d` enum('x)', 'it''s', 'b\\'c') -- , e int
+  , f numeric(10, 2) DEFAULT (1), CONSTRAINT g CHECK (f > 0), KEY h (f), "check" int
+);
+DO $body$ CREATE TABLE no (i int); $body$;
+SELECT 'x' CREATE TABLE none (j int);
+CREATE TABLE open (k int,"""
+    found, limited = ddl.tables(odd)
+    assert limited and [(t.name, t.columns) for t in found] == [('my"."tab ""le', ["a(b", "c,d", "f"])]
+    assert ddl.tables("") == ([], False) and ddl.tables("CREATE TABLE t () ; create table x") == ([("t", [])], False)
+    many = "\n".join(f"CREATE TABLE t{i} (a int);" for i in range(201))
+    assert len(ddl.tables(many)[0]) == 200 and ddl.tables(many)[1]
+    wide = f"CREATE TABLE w ({', '.join(f'c{i} int' for i in range(1200))});"
+    assert len(ddl.tables(wide)[0][0].columns) == 1000
+    monkeypatch.setattr(ddl, "LONGEST_TABLE", 20)
+    assert ddl.tables("CREATE TABLE long (aaaaaaaaaaaaaaaaaaaaaaaaaa int, b int);\nCREATE TABLE s (a int);") == ([("s", ["a"])], True)
+
+
+def test_probe(spark):
+    lines = ["INSERT INTO hl7labnotes VALUES (1,'findings: x',3,4,5,6,7,8),(1,NULL,3,4,5,6,7,8),(1,2);", "INSERT INTO `HL7LabNotes` VALUES (1,'Impression: FINDINGS:',3,4,5,6,7,8);", "INSERT INTO hl7labnotes VALUES (1,NOW());", "INSERT INTO hl7labnotes VALUES (1,2)", "INSERT INTO other VALUES (1);", "-- x", None, "INSERT INTO labdata VALUES (1,2,3,4,5,'r',7,'',9,'MRI lumbar spine');"]
+    got = {(r.table, r.field, r.metric): r.n for r in probe.probe(dumps.insert_rows(spark.createDataFrame([(x,) for x in lines], "value string"))).collect()}
+    assert got == {("hl7labnotes", "", "statements"): 4, ("hl7labnotes", "", "rows"): 3, ("hl7labnotes", "", "width_mismatch"): 1, ("hl7labnotes", "", "parse_error"): 1, ("hl7labnotes", "", "unsupported"): 1, ("hl7labnotes", "notes", "populated"): 2, ("hl7labnotes", "notes", "FINDINGS:"): 2, ("hl7labnotes", "notes", "IMPRESSION:"): 1,
+                   ("labdata", "", "statements"): 1, ("labdata", "", "rows"): 1, ("labdata", "result", "populated"): 1, ("labdata", "Addendum", "populated"): 1, ("labdata", "Addendum", "MRI LUMBAR SPINE"): 1}
 
 
 def test_xml():
