@@ -69,7 +69,8 @@ def test_ddl(spark):
 def test_ddl_tokens(monkeypatch):
     one = """CREATE TABLE t (a varchar(9) DEFAULT 'x--y', accession_no int); CREATE TABLE u ("odd, name" int, report_id int);"""
     assert ddl.tables(one) == ([("t", ["a", "accession_no"]), ("u", ["odd, name", "report_id"])], False)
-    odd = """/* CREATE TABLE a (b int); */ COPY x (y) FROM stdin;
+    odd = """/* CREATE TABLE a (b int); */
+COPY x (y) FROM stdin;
 CREATE TABLE inside (z int);
 \\.
 create table if not exists "my"."tab ""le" ( [a(b] int, `c,d` enum('x)', 'it''s', 'b\\'c') -- , e int
