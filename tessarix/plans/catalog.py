@@ -12,7 +12,7 @@ from ..functions.dialect import Duck, Spark
 from ..operators import dump, linkage, release, studies
 from ..sources.dumps import insert_rows
 from ..sources.reports import formatted
-from . import dumped, given, linked, nested, streamed
+from . import dumped, given, linked, nested, packaged, streamed
 from .fixtures import TABLES
 
 BUILDERS = {**studies.QUERIES, **linkage.QUERIES, **dump.QUERIES, **release.QUERIES}
@@ -81,5 +81,5 @@ def xml_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 XML_SQL = """select doc_id as report, case when doc_id % 31 = 0 then 'unparsed' when doc_id % 3 = 0 then 'xml' else 'plain' end as status,
 sha256(case when doc_id % 31 = 0 then '<labResult><notes>broken' when doc_id % 3 = 0 then concat('line ', cast(doc_id as varchar)) else concat('doc ', coalesce(text, '')) end) as text_sha256 from documents"""
 
-QUERIES = {name: run(b) for name, b in BUILDERS.items()} | {"S9_dump_rows": dump_rows, "F43_xml_reports": xml_reports} | {name: q for name, (q, _) in given.QUERIES.items()} | linked.QUERIES | nested.QUERIES | streamed.QUERIES | dumped.QUERIES
-ORACLES = {name: whole(b(Duck())) for name, b in {**BUILDERS, **linked.PRODUCTS}.items()} | {"S9_dump_rows": DUMP_SQL, "F43_xml_reports": XML_SQL} | {name: given.oracle(sql) for name, (_, sql) in given.QUERIES.items()} | linked.ORACLES | nested.ORACLES | streamed.ORACLES | dumped.ORACLES
+QUERIES = {name: run(b) for name, b in BUILDERS.items()} | {"S9_dump_rows": dump_rows, "F43_xml_reports": xml_reports} | {name: q for name, (q, _) in given.QUERIES.items()} | linked.QUERIES | nested.QUERIES | streamed.QUERIES | dumped.QUERIES | packaged.QUERIES
+ORACLES = {name: whole(b(Duck())) for name, b in {**BUILDERS, **linked.PRODUCTS}.items()} | {"S9_dump_rows": DUMP_SQL, "F43_xml_reports": XML_SQL} | {name: given.oracle(sql) for name, (_, sql) in given.QUERIES.items()} | linked.ORACLES | nested.ORACLES | streamed.ORACLES | dumped.ORACLES | packaged.ORACLES

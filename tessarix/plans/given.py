@@ -362,11 +362,46 @@ def _redaction_sql() -> str:
     return f"select doc_id, length({out}) as n_after, sha256({out}) as text_sha256, {out} like '%[REDACTED]%' as changed from documents"
 
 
+def drafts(spark, sf_dir):
+    """V3: which prepared drafts still hold after sizes and texts have changed."""
+    g = Given(spark, sf_dir)
+    kept = g.associations().where("uid not like '9.%'")
+    made = kept.withColumn("source_hash", F.when(F.substring("uid", -1, 1) == "3", "old").otherwise(F.col("report_hash"))).withColumn("fingerprint", F.when(F.substring("uid", -1, 1) == "7", "old").otherwise(F.col("fingerprint")))
+    return review.valid_drafts(made.select("uid", "source_hash", "fingerprint"), kept, g.studies())
+
+
+DRAFTS = "select uid, study % 9 <> 0 and study % 10 not in (3, 7) and (study % 7 <> 0 or study % 29 = 0) as prepared from studies where study % 4 <> 0"
+
+
+def outcome(spark, sf_dir):
+    """The last error of each study of a batch, and how many failed, behind them under a name of its own."""
+    g = Given(spark, sf_dir)
+    failures = g.sql("select uid, concat('no ', cast(k as string)) as error, study * k as at from studies cross join (select explode(array(1, 2, 3)) as k) x where study % 5 = 0 and k <= study % 4")
+    each, total = review.batch_outcome(g.sql("select uid from studies"), failures)
+    return each.unionByName(total.select(F.lit("all").alias("uid"), F.concat_ws("/", "failed", "succeeded", "of").alias("last_error")))
+
+
+OUTCOME = """with e as (select uid, case when study % 5 = 0 and study % 4 > 0 then concat('no ', study % 4) else '' end as last_error from studies)
+select * from e union all select 'all', concat_ws('/', count(*) filter (where last_error <> ''), count(*) filter (where last_error = ''), count(*)) from e"""
+
+
+def newest(spark, sf_dir):
+    """The twenty newest jobs, how long they took or have been running, and how many are active."""
+    g = Given(spark, sf_dir)
+    log = g.spark.sql(f"select event_id as job, event_type as kind, cast(ts as timestamp) as created, cast(ts as timestamp) + make_interval(0, 0, 0, 0, 0, 0, event_id % 7) as started, case when event_id % 3 <> 0 then cast(ts as timestamp) + make_interval(0, 0, 0, 0, 0, 2, event_id % 11) end as finished from {g.d.t('events')}")
+    out = review.newest_jobs(log, F.lit("2024-12-31 00:00:00").cast("timestamp"))
+    return out.select("job", "kind", F.round("elapsed", 3).alias("elapsed"), "active")
+
+
+NEWEST = """select event_id as job, event_type as kind, round(case when event_id % 3 <> 0 then 120.0 + event_id % 11 - event_id % 7 else epoch(timestamp '2024-12-31 00:00:00') - epoch(ts) - event_id % 7 end, 3) as elapsed,
+  (select count(*) from events where event_id % 3 = 0) as active from events order by ts desc, event_id desc limit 20"""
+
+
 QUERIES = {
     "F35_redaction": (redaction, _redaction_sql()), "S7_headers": (headers, HEADERS), "A7_descriptions": (described, DESCRIBED), "P1_open_studies": (open_studies, OPEN), "V1_reconciled": (reconciled, RECONCILED), "V6_rescanned": (rescanned, RESCANNED),
     "V2_admissible": (admissible, ADMISSIBLE), "V5_exportable": (exportable, EXPORTABLE), "V7_batches": (batches, BATCHES), "F37_mask_documents": (mask_documents, MASK_DOCUMENTS), "J22_mask_targets": (mask_targets, MASK_TARGETS),
     "J9_narratives": (narrative_index, NARRATIVE_INDEX), "A23_narrative_totals": (narrative_totals, NARRATIVE_TOTALS), "P13_report_browse": (browsed, BROWSED), "P14_source_errors": (errors, ERRORS), "T1_worklist": (worked, WORKED),
-    "F19_extracts": (extracted, EXTRACTED), "F29_research_uids": (research_uids, _research_sql()), "A20_preflight": (checked, CHECKED), "A13_verified_sources": (verified, VERIFIED), "U6_identifiers": (identified, IDENTIFIED), "W4_first_instances": (first_eight, FIRST_EIGHT),
+    "F19_extracts": (extracted, EXTRACTED), "F29_research_uids": (research_uids, _research_sql()), "A20_preflight": (checked, CHECKED), "A13_verified_sources": (verified, VERIFIED), "V3_drafts": (drafts, DRAFTS), "A28_batch_outcome": (outcome, OUTCOME), "A29_newest_jobs": (newest, NEWEST), "U6_identifiers": (identified, IDENTIFIED), "W4_first_instances": (first_eight, FIRST_EIGHT),
 }
 
 

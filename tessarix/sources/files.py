@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,20 +16,14 @@ def listing(spark: SparkSession, *roots: str) -> DataFrame:
     return files.withColumn("kind", F.when(suffix == "txt", "report").when(suffix == "sql", "sql").when(suffix == "dcm", "dicom").otherwise("other"))
 
 
-def cp1252(column):
-    """Text of cp1252 bytes, null where they aren't."""
-
-    @F.pandas_udf("string")
-    def decode(raw):
-        def one(x):
-            try:
-                return x.decode("cp1252")
-            except (UnicodeDecodeError, AttributeError):
-                return None
+# What cp1252 has in place of the controls 80 to 9F, and the bytes that it doesn't have.
+_CONTROLS, _SIGNS, _NONE = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f", "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ", r"[\x81\x8D\x8F\x90\x9D]"
 
-        return raw.map(one)
 
-    return decode(column)
+def cp1252(column):
+    """Text of cp1252 bytes, null where they aren't; in the JVM."""
+    text = F.decode(F.col(column) if isinstance(column, str) else column, "ISO-8859-1")
+    return F.when(~text.rlike(_NONE), F.translate(text, _CONTROLS, _SIGNS))
 
 
 def reports(spark: SparkSession, *roots: str, encoding: str = "utf-8-sig", most: int = LONGEST_REPORT) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dialect import Spark
+
 #: Parts of a path that leave a package or hide in it.
 UNSAFE = r"(^/)|(^|/)\.{1,2}(/|$)|\\|^$|//"
 
@@ -54,6 +56,16 @@ def checked(spark: SparkSession, root: str, export_id: str) -> DataFrame:
     return both.select(F.coalesce("path", "t_path").alias("path"), status.alias("status"))
 
 
+def audited(events: DataFrame, root: str, key: bytes) -> None:
+    """Append events (action, target, at) to the audit log below ``root``; the log holds a keyed token of each target, not the target."""
+    token = F.expr(Spark().hmac(key, "target"))
+    events.select("action", F.substring(token, 1, 32).alias("target"), "at").write.mode("append").json(f"{root}/_audit")
+
+
+def audit_log(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("action string, target string, at long").json(f"{root}/_audit")
+
+
 def sizes(spark: SparkSession, root: str) -> DataFrame:
     """Package, files, bytes of all packages below ``root``."""
     files = spark.read.schema("path string, bytes long, sha256 string").json(f"{root}/*/manifest.json").withColumn("package", F.regexp_extract(F.input_file_name(), r"([^/]+)/manifest\.json/", 1))
