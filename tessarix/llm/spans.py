@@ -32,8 +32,6 @@ from .common import cut, few, free, in_batches, joined, mixed, slices, table, un
 LEAST_SENTENCES, LEAST_WORDS, LONGEST = 2, 20, 16
 #: A cut stands before the least of the pairs of words this far to either side.
 NEAR = 3
-#: Removed ranges are sent to all executors up to so many numbers, 4 bytes each.
-MOST_SENT = 4_000_000
 #: Stops that need white space behind them, stops that don't, and what may close a sentence behind these.
 _STOP, _WIDE, _CLOSE = ".!?…؟۔।॥።", "。！？｡", "」』）”’"
 #: Up to a stop, a line end, or the end of the text; a stop inside a word ends nothing.
@@ -253,12 +251,8 @@ def dedup(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words:
     gone = cut(later.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("gone")).alias(ranges)).select(F.col("doc_id").alias(name), F.col("row").alias(mark), ranges), "gone")
     free(hits, firsts)
     same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(row) == F.col(mark))
-    held = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(ranges)), F.lit(0))).first()
-    if 12 * held[0] + held[1] > MOST_SENT:
-        return shortened(named.join(gone, same, "left").drop(row, name, mark), ranges, "n_removed")
-    touched = shortened(named.join(F.broadcast(gone), same).drop(row, name, mark), ranges, "n_removed")
-    whole = named.join(F.broadcast(gone.select(name, mark)), same, "left_anti").drop(row)
-    return whole.withColumn("n_removed", F.lit(0)).unionByName(touched)
+    # texts are dealt by document at every size, once
+    return shortened(named.join(gone, same, "left").drop(row, name, mark), ranges, "n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
