@@ -276,7 +276,7 @@ def extracted(spark, sf_dir):
 
 
 EXTRACTED = """select report, case when o_orderkey % 10 in (0, 3, 4) then array_to_string(list_sort([accession, concat('doc', cast(report as varchar))]), ',') when o_orderkey % 10 = 1 then array_to_string(list_sort([accession, concat('doc', cast(report as varchar))]), ',') when o_orderkey % 10 = 9 then accession else concat('doc', cast(report as varchar)) end as accessions,
-  case when o_orderkey % 10 = 8 then study_uid else '' end as uids, case when o_orderkey % 10 in (0, 2, 3, 4, 6, 7) then concat(family, ' ', given) else '' end as patient_name, case when o_orderkey % 10 = 0 then patient_id else '' end as mrn,
+  case when o_orderkey % 10 = 8 then study_uid else '' end as uids, case when o_orderkey % 10 in (0, 2, 3, 4, 6, 7) then array_to_string(list_sort(string_split(concat(family, ' ', given), ' ')), ' ') else '' end as patient_name, case when o_orderkey % 10 = 0 then patient_id else '' end as mrn,
   case when o_orderkey % 10 in (0, 2) then strftime(dob, '%Y%m%d') when o_orderkey % 10 = 3 then '19030102' else '' end as birth_date, case when o_orderkey % 10 in (0, 3) then strftime(exam, '%Y%m%d') else '' end as study_date,
   case when o_orderkey % 10 in (0, 2, 5, 6, 7) then modality else '' end as modality, case when o_orderkey % 10 in (0, 2, 3, 4, 6, 7) then concat(family, ', ', given) when o_orderkey % 10 = 5 then concat('SOMEONE ', family) when o_orderkey % 10 = 8 then concat(family, ', ', given) else '' end as name_hint
 from fx_reports join fx_order on o_orderkey = report"""
