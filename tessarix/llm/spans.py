@@ -9,7 +9,7 @@ first place of a run, by doc_id and then position, stays, and sentences covered
 
 Runs are written once. Only hash and count are shuffled to find the repeated hashes; rows of these alone go on, first
 places are aggregated map-side, so a span that a third of all documents share is one row a task there, and the joins
-read tables, so Spark may broadcast the small side or split a frequent hash.
+read tables, so Spark may split a frequent hash. The way is the same at every size; nothing is sent to all executors.
 
 Defined results: a null text stays null, an empty one empty; a text without repeated runs comes back byte for byte;
 rows that share a doc_id are told apart by their text, rows equal in both are one document and keep what it keeps; rows
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, few, free, in_batches, joined, mixed, slices, table, unused, word_hashes
+from .common import cut, free, in_batches, joined, mixed, slices, table, unused, word_hashes
 
 LEAST_SENTENCES, LEAST_WORDS, LONGEST = 2, 20, 16
 #: A cut stands before the least of the pairs of words this far to either side.
@@ -242,11 +242,11 @@ def dedup(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words:
     named = docs.withColumn(row, F.xxhash64("text"))
     every = cut(spans(named.select("doc_id", F.col(row).alias("row"), "text"), least_sentences, least_words), "runs")
     repeated = cut(every.groupBy("hash").agg(F.count("*").alias("n"), F.max(F.size("more")).alias("m")).where("n > 1 or m > 0").select(F.col("hash").alias("h")), "repeated")
-    hits = cut(every.join(few(repeated), F.col("hash") == F.col("h")).drop("h"), "hits")
+    hits = cut(every.join(repeated, F.col("hash") == F.col("h")).drop("h"), "hits")
     free(every, repeated)
     place = F.struct("doc_id", "row")
     firsts = cut(hits.groupBy("hash").agg(F.min(place).alias("keep")).select(F.col("hash").alias("h"), "keep"), "firsts")
-    later = hits.join(few(firsts), F.col("hash") == F.col("h"))
+    later = hits.join(firsts, F.col("hash") == F.col("h"))
     later = later.withColumn("gone", F.when(place.eqNullSafe(F.col("keep")), F.col("more")).otherwise(F.concat(F.array("first", "behind"), "more"))).where(F.size("gone") > 0)
     gone = cut(later.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("gone")).alias(ranges)).select(F.col("doc_id").alias(name), F.col("row").alias(mark), ranges), "gone")
     free(hits, firsts)
