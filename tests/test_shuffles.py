@@ -27,3 +27,15 @@ def test_a_study_is_built_where_its_instances_were_joined(joined_by_shuffle):
     told = plan(catalog.QUERIES["A1_study_build"](joined_by_shuffle, SF))
     assert "Expand" not in told  # distinct counts would read each row several times
     assert told.count("Exchange hashpartitioning") == 4  # customers, orders by customer, orders and instances by study
+
+
+def test_studies_and_their_fingerprints_are_one_aggregation(spark):
+    told = plan(given.Given(spark, SF).studies())
+    assert told.count("lineitem.parquet") == 1
+
+
+def test_fingerprints_of_studies_are_those_of_their_headers(spark):
+    from tessarix.operators import review
+
+    g = given.Given(spark, SF)
+    assert g.studies().select("uid", "fingerprint").exceptAll(review.fingerprints(g.headers())).isEmpty()
