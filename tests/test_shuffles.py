@@ -39,3 +39,24 @@ def test_fingerprints_of_studies_are_those_of_their_headers(spark):
 
     g = given.Given(spark, SF)
     assert g.studies().select("uid", "fingerprint").exceptAll(review.fingerprints(g.headers())).isEmpty()
+
+
+def test_what_was_approved_meets_instances_in_one_row_a_study(joined_by_shuffle):
+    told = plan(catalog.QUERIES["V5_exportable"](joined_by_shuffle, SF))
+    assert told.count("Exchange hashpartitioning") <= 32  # 58 when instances went around by object and by study again
+    assert told.count("Exchange hashpartitioning(sop_uid") == 2  # what is covered, and where burned-in text needs it
+
+
+def test_content_is_held_against_what_was_approved(spark):
+    from tessarix.operators import review
+
+    file = "study_uid string, sop_uid string, sop_class string, has_pixels boolean, burned string, file_id string, content_hash string, active boolean"
+    ct = review.RELEASED["ct"]
+    rows = [("a", "a1", ct, True, "NO", "f:1", "h1", True), ("b", "b1", ct, True, "NO", "f2", "new", True), ("c", "c1", ct, True, "NO", "f3", None, True), ("d", "d1", ct, True, "YES", "f4", "h4", True), ("e", "e1", ct, True, "YES", "f5", "h5", True), ("f", "f1", ct, True, "NO", "f6", "h6", True), ("f", "f1", ct, True, "NO", "f7", "h7", True)]
+    approved = {"a": {"f:1": "h1", "gone": "h0"}, "b": {"f2": "old"}, "c": {"f3": "h3"}, "d": {"f4": "h4"}, "e": {"f5": "h5"}, "f": {"f6": "h6", "f7": "h7"}}
+    studies = spark.createDataFrame([(u, 2 if u == "f" else 1, m) for u, m in approved.items()], "uid string, n int, source_hashes map<string,string>").selectExpr("*", "'approved' as state", "1 as report", "'r' as report_hash", "'p' as fingerprint", "'p' as approved_fingerprint", "false as conflict", "'' as clean", "'' as masks", "'' as note", "10 as bytes")
+    studies = studies.withColumn("approved_hash", review.approval())
+    reports = spark.createDataFrame([(1, "r", True)], "report int, hash string, active boolean")
+    covered = spark.createDataFrame([("d1",)], "sop_uid string")
+    got = {r.uid: r.reason for r in review.blocked(studies, spark.createDataFrame(rows, file), reports, covered).collect()}
+    assert got == {"a": "", "b": "source content changed", "c": "source content changed", "d": "", "e": "burned-in annotation", "f": "conflicting copies"}
