@@ -60,3 +60,13 @@ def test_content_is_held_against_what_was_approved(spark):
     covered = spark.createDataFrame([("d1",)], "sop_uid string")
     got = {r.uid: r.reason for r in review.blocked(studies, spark.createDataFrame(rows, file), reports, covered).collect()}
     assert got == {"a": "", "b": "source content changed", "c": "source content changed", "d": "", "e": "burned-in annotation", "f": "conflicting copies"}
+
+
+@pytest.mark.parametrize("name", ["E12_study_states", "A8_reasons", "J27_study_detail", "J13_report_pages"])
+def test_pairs_of_a_surname_do_not_go_around(spark, monkeypatch, name):
+    from tessarix.plans import linked
+
+    kept, real = [], linked.written
+    monkeypatch.setattr(linked, "written", lambda df, n: kept.append(n) or real(df, n))
+    told = plan(catalog.QUERIES[name](spark, SF))
+    assert "candidates" not in kept and "windowspecdefinition(uid" not in told
