@@ -70,3 +70,12 @@ def test_pairs_of_a_surname_do_not_go_around(spark, monkeypatch, name):
     monkeypatch.setattr(linked, "written", lambda df, n: kept.append(n) or real(df, n))
     told = plan(catalog.QUERIES[name](spark, SF))
     assert "candidates" not in kept and "windowspecdefinition(uid" not in told
+
+
+def test_files_are_counted_before_they_meet_the_roots(spark):
+    told = plan(catalog.QUERIES["A6_source_coverage"](spark, SF))
+    assert "count(distinct" not in told and told.split("HashAggregate", 1)[0].count("Join") >= 3  # nothing is counted after the joins
+
+
+def test_a_preflight_reads_each_instance_once(spark):
+    assert "Expand" not in plan(catalog.QUERIES["A20_preflight"](spark, SF))
