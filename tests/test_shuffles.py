@@ -79,3 +79,7 @@ def test_files_are_counted_before_they_meet_the_roots(spark):
 
 def test_a_preflight_reads_each_instance_once(spark):
     assert "Expand" not in plan(catalog.QUERIES["A20_preflight"](spark, SF))
+
+
+def test_mask_documents_are_parsed_once(spark):
+    assert "parse_json" not in plan(catalog.QUERIES["J22_mask_targets"](spark, SF))  # they have been, and their masks were written
