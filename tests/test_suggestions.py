@@ -73,3 +73,11 @@ def test_states(spark):
     assert {(r.uid, r.report, r.priority) for r in listed.collect()} == {("a", 1, 1), ("b", 1, 1), ("a", 2, 2), ("d", 2, 2)}
     got = {r.uid: r.state for r in matching.states(studies, listed, studies.where("uid in ('c', 'f')").select("uid")).collect()}
     assert got == {"a": "ambiguous", "b": "candidate", "c": "conflict", "d": "ambiguous", "e": "unmatched", "f": "needs_review"}
+
+
+def test_pairs_of_an_identifier_are_told_before_rows_of_evidence_meet(spark):
+    """60 reports of one patient ID and name, some with the study's accession or date: ten of them go on, in their final places."""
+    rows = [(i, f"/r/{i}", "A1" if i == 50 else "", "P1", ["ANN LEE"], "", "20200101" if i == 40 else "", "", "", [], [], "", False, "ANN LEE", ["ANN", "LEE"]) for i in range(60)]
+    asked = spark.createDataFrame([("u", "A1", "P1", "ANN LEE", ["LEE"], ["CT"], ["KNEE"], "", "20200101", "f")], STUDY)
+    got = suggestions.candidates(spark.createDataFrame(rows, REPORT), asked).orderBy("position").collect()
+    assert [r.report for r in got] == [50, 40, *range(8)] and [r.position for r in got] == list(range(10))
