@@ -81,3 +81,12 @@ def test_pairs_of_an_identifier_are_told_before_rows_of_evidence_meet(spark):
     asked = spark.createDataFrame([("u", "A1", "P1", "ANN LEE", ["LEE"], ["CT"], ["KNEE"], "", "20200101", "f")], STUDY)
     got = suggestions.candidates(spark.createDataFrame(rows, REPORT), asked).orderBy("position").collect()
     assert [r.report for r in got] == [50, 40, *range(8)] and [r.position for r in got] == list(range(10))
+
+
+def test_a_queue_asks_for_one_suggestion_of_a_study(spark, monkeypatch):
+    from tessarix.plans import linked
+
+    asked_for, real = [], linked.suggestions.suggestions
+    monkeypatch.setattr(linked.suggestions, "suggestions", lambda told, asked, most=10: asked_for.append(most) or real(told, asked, most))
+    linked.review_queue(spark, "/root/testdata/sf0.001")
+    assert asked_for == [1]
