@@ -43,3 +43,25 @@ def test_headers_go_into_the_inventory_without_a_copy(spark, monkeypatch):
     monkeypatch.setattr(streamed, "written", lambda df, n: kept.append(n) or real(df, n))
     told = plan(catalog.QUERIES["ST2_invalidated"](spark, SF))
     assert kept == ["associations", "touched"] and "lineitem.parquet" not in told
+
+
+@pytest.mark.parametrize("name", ["J9_narratives", "A23_narrative_totals"])
+def test_dump_lines_are_read_once(spark, name):
+    assert "MapInArrow" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_a_run_of_nulls_is_read_in_one_step(monkeypatch):
+    steps, real = [], dumps._LITERAL
+
+    class Counted:
+        def match(self, *args):
+            steps.append(args)
+            return real.match(*args)
+
+        def scanner(self, *args):
+            raise AssertionError
+
+    monkeypatch.setattr(dumps, "_LITERAL", Counted())
+    assert dumps.parse_insert("INSERT INTO t VALUES (1, NULL" + ", null" * 20 + " , 'a', NULL, NULL);") == ("t", [["1", *[None] * 21, "a", None, None]], "")
+    assert len(steps) == 5
+    assert dumps.parse_insert("INSERT INTO t VALUES (NULL, NULLx);")[2] == "unsupported value"
