@@ -65,3 +65,15 @@ def test_a_run_of_nulls_is_read_in_one_step(monkeypatch):
     assert dumps.parse_insert("INSERT INTO t VALUES (1, NULL" + ", null" * 20 + " , 'a', NULL, NULL);") == ("t", [["1", *[None] * 21, "a", None, None]], "")
     assert len(steps) == 5
     assert dumps.parse_insert("INSERT INTO t VALUES (NULL, NULLx);")[2] == "unsupported value"
+
+
+@pytest.mark.parametrize("name, scans", [("V2_admissible", 0), ("V6_rescanned", 0), ("P1_open_studies", 1), ("A13_verified_sources", 2)])
+def test_studies_are_built_once(spark, name, scans):
+    assert plan(catalog.QUERIES[name](spark, SF)).count("lineitem.parquet") == scans
+
+
+def test_recorded_fingerprints_are_those_of_the_headers_before(spark):
+    g = given.Given(spark, SF)
+    before = review.fingerprints(g.headers(size="case when o_orderkey % 9 = 0 then size + 1 else size end"))
+    assert g.known.selectExpr("uid", "before as fingerprint").exceptAll(before).isEmpty()
+    assert g.kept_studies().exceptAll(g.studies().select(g.kept_studies().columns)).isEmpty()
