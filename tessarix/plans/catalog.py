@@ -12,6 +12,7 @@ from ..functions.dialect import Duck, Spark
 from ..operators import dump, linkage, release, studies
 from ..sources.dumps import insert_rows
 from ..sources.reports import formatted
+from ..sources.shared import written
 from . import dumped, given, linked, nested, packaged, streamed
 from .fixtures import TABLES
 
@@ -44,9 +45,20 @@ def _closed(sql: str, opened: int) -> int:
     raise ValueError("a parenthesis is open")
 
 
+class Writing(Spark):
+    """Fragments for a session: what is to be computed once is written, and read as a table."""
+
+    def __init__(self, spark: SparkSession, tables):
+        super().__init__(tables)
+        self.spark = spark
+
+    def once(self, head, query, name):
+        return f"select * from parquet.`{written(self.spark.sql(whole(f'with {head} {query}')), name).path}`"
+
+
 def over(spark: SparkSession, sf_dir: str) -> Spark:
     """Spark's fragments over the tables of ``sf_dir``, read in place; nothing is registered in the session."""
-    return Spark({name: f"parquet.`{sf_dir}/{name}.parquet`" for name in TABLES})
+    return Writing(spark, {name: f"parquet.`{sf_dir}/{name}.parquet`" for name in TABLES})
 
 
 def run(builder):

@@ -45,6 +45,36 @@ def test_headers_go_into_the_inventory_without_a_copy(spark, monkeypatch):
     assert kept == ["associations", "touched"] and "lineitem.parquet" not in told
 
 
+@pytest.mark.parametrize("name", ["A17_discovery_summary", "J4_discovery"])
+def test_evidence_is_extracted_once(spark, name):
+    assert "(?imd)" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_a_funnel_counts_pairs_where_names_join_them(spark):
+    told = plan(catalog.QUERIES["A14_emr_funnel"](spark, SF))
+    assert "Expand" not in told and "(?imd)" not in told
+
+
+def test_each_pattern_is_looked_for_once():
+    d = Spark()
+    told = tx.evidence(d, "fx_reports")
+    for pattern in (tx.ACCESSION, tx.PATIENT_ID, tx.DOB, tx.EXAM_DATE, tx.GENERIC_DATE):
+        assert told.count(d.lit(d.flags(pattern))) == 1
+
+
+def test_terms_are_found_as_by_their_patterns(spark):
+    d, texts = Spark(), ["mri lumbar", "MR of the x-ray", "CTX Brainy US", "headache, Head; sonogram", "computed  tomography", "magnetic resonance pet", "", None, "Xray ſonogram kneE"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string").withColumn("up", F.upper("v"))
+    for known in (tx.TEXT_MODALITIES, tx.TEXT_ANATOMY):
+        assert all(tx._maybe("up", p) for p in known.values())
+        assert df.where(~F.expr(f"{tx.terms(d, 'v', known)} <=> {tx.terms(d, 'v', known, 'up')}")).isEmpty()
+
+
+def test_a_year_zero_is_no_date(spark):
+    df = spark.createDataFrame([("00000101",), ("0000-1-1",), ("1/1/0000",), ("1/1/00",), ("0001-2-3",), ("2023-02-29 1:2:3",)], "v string")
+    assert [r[0] for r in df.select(F.expr(tx.date(Spark(), "v"))).collect()] == ["", "", "", "20000101", "00010203", ""]
+
+
 @pytest.mark.parametrize("name", ["J9_narratives", "A23_narrative_totals"])
 def test_dump_lines_are_read_once(spark, name):
     assert "MapInArrow" not in plan(catalog.QUERIES[name](spark, SF))
