@@ -90,3 +90,16 @@ def test_a_queue_asks_for_one_suggestion_of_a_study(spark, monkeypatch):
     monkeypatch.setattr(linked.suggestions, "suggestions", lambda told, asked, most=10: asked_for.append(most) or real(told, asked, most))
     linked.review_queue(spark, "/root/testdata/sf0.001")
     assert asked_for == [1]
+
+
+def test_rows_go_to_their_keys_once(spark):
+    """Rows with what decides a place lie by key, pairs by study, and nothing else is shuffled."""
+    told, asked = random_rows(4, 50, 20)
+    told, asked = spark.createDataFrame(told, REPORT), spark.createDataFrame(asked, STUDY)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = suggestions.by_identifier(told, asked)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 3  # 7 when rows met their keys by a join
+    without = suggestions.suggestions(told, asked.drop("fingerprint")).select("uid", "report", "position", "bucket")
+    assert without.exceptAll(suggestions.suggestions(told, asked).select("uid", "report", "position", "bucket")).isEmpty() and not without.isEmpty()
