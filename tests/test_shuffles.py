@@ -83,3 +83,8 @@ def test_a_preflight_reads_each_instance_once(spark):
 
 def test_mask_documents_are_parsed_once(spark):
     assert "row_number" not in plan(catalog.QUERIES["J22_mask_targets"](spark, SF))  # they have been, and their masks were written
+
+
+def test_a_review_queue_builds_its_studies_once(spark):
+    told = plan(catalog.QUERIES["J15_review_queue"](spark, SF))
+    assert "lineitem.parquet" not in told and "orders.parquet" not in told
