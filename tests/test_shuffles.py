@@ -88,3 +88,28 @@ def test_mask_documents_are_parsed_once(spark):
 def test_a_review_queue_builds_its_studies_once(spark):
     told = plan(catalog.QUERIES["J15_review_queue"](spark, SF))
     assert "lineitem.parquet" not in told and "orders.parquet" not in told
+
+
+def test_instances_take_the_masks_of_their_study_where_they_lie(joined_by_shuffle):
+    told = plan(catalog.QUERIES["J22_mask_targets"](joined_by_shuffle, SF))
+    assert told.count("Exchange hashpartitioning") == 5 and "Exchange hashpartitioning(sop_uid" not in told  # four build the instances, one groups masks
+
+
+def test_masks_of_all_scopes_are_told_alike_with_pairs_and_without(spark):
+    from pyspark.sql import functions as F
+
+    from tessarix.operators import masks
+
+    mask = "study_uid string, scope string, series_uid string, sop_uid string, frame bigint, x bigint, y bigint, w bigint, h bigint"
+    told = [("a", "exam", None, None, None, 0, 0, 64, 64), ("a", "image", "a1", "i1", 0, 1, 1, 9, 9), ("b", "series", "b1", None, None, 4, 4, 90, 9), ("c", "image", "c1", "i6", 0, 1, 1, 2, 2), ("c", "image", "c1", "i6", 1, 1, 1, 2, 2), ("c", "image", "c1", "i7", 1, 1, 1, 2, 2)]
+    file = "study_uid string, series_uid string, sop_uid string, rows int, columns int, samples int, frames int, burned string"
+    rows = [("a", "a1", "i1", 64, 64, 1, 1, "YES"), ("a", None, "i2", 32, 64, 3, 1, None), ("b", "b1", "i3", 64, 64, 1, 1, "yes"), ("b", "b2", "i4", 64, 64, 1, 1, "YES"), ("c", "c1", "i6", 64, 64, 1, 2, "YES"), ("c", "c1", "i7", 64, 64, 1, 1, "YES"), ("d", "d1", "i8", 64, 64, 1, 1, "NO")]
+    told, rows = spark.createDataFrame(told, mask), spark.createDataFrame(rows, file)
+    pairs = masks.violations(masks.bound(told, rows))
+    n = {r.sop_uid: (r.n, r.faults, r.first) for r in pairs.groupBy("sop_uid").agg(F.count("*").alias("n"), F.count_if(F.col("fault") != "").alias("faults"), F.min(F.when(F.col("fault") != "", F.col("fault"))).alias("first")).collect()}
+    covered = {r.sop_uid for r in masks.covered(pairs).collect()}
+    kept = {r.sop_uid for r in masks.quarantined(rows, masks.covered(pairs)).collect()}
+    got = masks.targets(told, rows).collect()
+    assert {r.sop_uid: (r.n_masks, r.faults, r.first_fault, r.covered, r.quarantined) for r in got} == {r.sop_uid: (*n.get(r.sop_uid, (0, 0, None)), r.sop_uid in covered, r.sop_uid in kept) for r in rows.collect()}
+    assert len(got) == 7 and covered == {"i1", "i2", "i3", "i6"} and kept == {"i4", "i7"}
+    assert masks.targets(told, rows.unionByName(rows)).where("sop_uid = 'i1'").select("n_masks").collect() == [(2,), (2,)]
