@@ -113,3 +113,15 @@ def test_masks_of_all_scopes_are_told_alike_with_pairs_and_without(spark):
     assert {r.sop_uid: (r.n_masks, r.faults, r.first_fault, r.covered, r.quarantined) for r in got} == {r.sop_uid: (*n.get(r.sop_uid, (0, 0, None)), r.sop_uid in covered, r.sop_uid in kept) for r in rows.collect()}
     assert len(got) == 7 and covered == {"i1", "i2", "i3", "i6"} and kept == {"i4", "i7"}
     assert masks.targets(told, rows.unionByName(rows)).where("sop_uid = 'i1'").select("n_masks").collect() == [(2,), (2,)]
+
+
+def test_index_of_inactive_files_is_read_once(spark):
+    told = plan(catalog.QUERIES["A10_historical_overlap"](spark, SF))
+    assert "lineitem.parquet" not in told and "from_json" not in told  # 5 times before
+
+
+def test_a_history_of_files_writes_no_studies(spark, monkeypatch):
+    kept, real = [], catalog.written
+    monkeypatch.setattr(catalog, "written", lambda df, n: kept.append(n) or real(df, n))
+    catalog.QUERIES["A10_historical_overlap"](spark, SF)
+    assert sorted(kept) == ["dated", "index"]  # the studies, which it doesn't read, came first before
