@@ -125,3 +125,33 @@ def test_a_history_of_files_writes_no_studies(spark, monkeypatch):
     monkeypatch.setattr(catalog, "written", lambda df, n: kept.append(n) or real(df, n))
     catalog.QUERIES["A10_historical_overlap"](spark, SF)
     assert sorted(kept) == ["dated", "index"]  # the studies, which it doesn't read, came first before
+
+
+def test_lists_of_a_study_stay_where_they_are_put_together(joined_by_shuffle):
+    told = plan(catalog.QUERIES["J27_study_detail"](joined_by_shuffle, SF))
+    above, _, join = told.partition("SortMergeJoin")
+    assert join.startswith(" [phrase") and "Exchange" not in above  # whole lists went around by study before
+
+
+def test_texts_are_cut_into_tokens_once(spark, monkeypatch):
+    from tessarix.operators import postings
+
+    kept, real = [], postings.written
+    monkeypatch.setattr(postings, "written", lambda df, n: kept.append(n) or real(df, n))
+    posted = postings.postings(spark.createDataFrame([(1, "van Dyk, Ann", "/a"), (2, "Dyk", "/van")], "report int, text string, path string"))
+    found = postings.hits(posted, spark.createDataFrame([("van dyk",), ("Dyk",), ("Dyk",)], "phrase string"))
+    assert kept == ["phrases", "asked"] and "regexp_extract_all(lower(text" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("Dyk", 1), ("Dyk", 2), ("van dyk", 1)]
+
+
+def test_candidates_without_a_strong_reason_are_listed_by_path(spark):
+    from tessarix.operators import matching
+
+    studies = spark.createDataFrame([("u", "", "LEE^X", False), ("v", "", "LEE^Y", False)], "uid string, accession string, name string, conflict boolean")
+    reports = spark.createDataFrame([(i, f"/{p}", "") for i, p in enumerate("cabd")], "report int, path string, text string")
+    found = spark.createDataFrame([("u", 0, "by hand"), ("v", 2, matching.UID)], "uid string, report int, reason string")
+    named = spark.createDataFrame([("LEE", 1), ("LEE", 2), ("LEE", 3)], "phrase string, report int")
+    associated = spark.createDataFrame([("u", 3), ("v", 0), ("w", 1), ("w", 9)], "uid string, report int")
+    listed = matching.gathered(studies, found, named, reports=reports, beside=matching.linked(associated, reports))
+    got = sorted((r.uid, r.position, r.report, r.strength) for r in matching.detail(listed).collect())
+    assert got == [("u", 0, 1, 2), ("u", 1, 2, 2), ("u", 2, 0, 2), ("u", 3, 3, 2), ("v", 0, 2, 0), ("v", 1, 1, 2), ("v", 2, 3, 2), ("v", 3, 0, 3), ("w", 0, 1, 3)]
